@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codegrain.llm import containers as p6
+from codegrain.llm import cross_split as p5
 from codegrain.llm import formatting_duplicates as p1
+from codegrain.llm import lookalikes as p8
+from codegrain.llm import mixing as p7
+from codegrain.llm import splitting as p4
 from codegrain.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,5 +28,58 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.collapsed(train, "idx", "func", "ingested_at").select(F.col("keep").alias("keep_idx"), "copies")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = p4.pieces(read_table(spark, sf_dir, "primevul_train"), "idx", "func", "ingested_at").withColumnRenamed("idx", "rec_id")
+    pairs = p4.pieces(read_table(spark, sf_dir, "train_aug_paired"), "pair_id", "func_before", "ingested_at").withColumnRenamed("pair_id", "rec_id")
+    named = [df.select(F.lit(name).alias("table_name"), "*") for name, df in (("primevul_train", train), ("train_aug_paired", pairs))]
+    return named[0].unionByName(named[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).where("piece = 1").select("table_name", "rec_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, valid = read_table(spark, sf_dir, "primevul_train"), read_table(spark, sf_dir, "primevul_valid")
+    pairs = p5.overlapping_pairs(train, valid, "idx", "func", "ingested_at")
+    return pairs.select(F.col("left_key").alias("train_idx"), F.col("right_key").alias("valid_idx"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, valid = read_table(spark, sf_dir, "primevul_train"), read_table(spark, sf_dir, "primevul_valid")
+    return p5.overlap_report(train, valid, "idx", "func", "ingested_at", "project", ("train", "valid")).withColumnRenamed("source", "project")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.fill_containers(read_table(spark, sf_dir, "documents"), "doc_id", "text", "crawled_at")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.fill_report(p6_containers(spark, sf_dir))
+
+
+def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, targets = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")
+    draw, _, _ = p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at")
+    return draw.withColumnRenamed("k", "doc_id").withColumnRenamed("n", "n_tokens")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, targets = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")
+    return p7.shares(*p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at"))
+
+
+def p8_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.unified(read_table(spark, sf_dir, "documents", "doc_id", "text", "crawled_at"), "text").select("doc_id", "unified")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = p8.lookalike_pairs(read_table(spark, sf_dir, "documents"), "doc_id", "text", "crawled_at")
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (p1_found, p1_collapsed, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
+}
 ORACLES: dict[str, str] = {}
