@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codegrain.llm import answers as p3
 from codegrain.llm import containers as p6
 from codegrain.llm import cross_split as p5
 from codegrain.llm import formatting_duplicates as p1
@@ -28,6 +29,12 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.collapsed(train, "idx", "func", "ingested_at").select(F.col("keep").alias("keep_idx"), "copies")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = p3.fit_language(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", home="en")
+    return p3.defects(read_table(spark, sf_dir, "train_llama_paired"), language, "pair_id", "cve_desc", ["cve_desc", "func_before", "func_after"],
+                      ["root_cause", "safety_justification"], "enriched_at")
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = p4.pieces(read_table(spark, sf_dir, "primevul_train"), "idx", "func", "ingested_at").withColumnRenamed("idx", "rec_id")
     pairs = p4.pieces(read_table(spark, sf_dir, "train_aug_paired"), "pair_id", "func_before", "ingested_at").withColumnRenamed("pair_id", "rec_id")
@@ -80,6 +87,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_collapsed, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
+    for f in (p1_found, p1_collapsed, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
 }
 ORACLES: dict[str, str] = {}
