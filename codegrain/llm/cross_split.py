@@ -26,8 +26,9 @@ from codegrain.session import materialize
 
 WORD = re.compile(r"[a-z0-9_]+")
 BITS, BLOCK_BITS, BLOCKS, TURNED = 256, 20, 40, 3
-#: Hamming radius within the 64 bits that travel with a block. Pairs at 15 % of edits differ in about a sixth of the bits.
-RADIUS_OF_64 = 23
+#: Hamming radius, and that within the 64 bits that travel with a block. Pairs at 15 % of edits differ in
+#: about a seventh of the bits (37, standard deviation 6), unrelated ones in 115.
+RADIUS, RADIUS_OF_64 = 70, 23
 
 
 def words(text: str) -> list[str]:
@@ -69,7 +70,7 @@ def blocks_of(vote: np.ndarray, turned: int) -> np.ndarray:
     return keys
 
 
-SIGNATURE = T.StructType().add("words_hash", "string").add("n_words", "integer").add("sample", "long").add("blocks", T.ArrayType(T.IntegerType()))
+SIGNATURE = T.StructType().add("words_hash", "string").add("n_words", "integer").add("sample", "long").add("w1", "long").add("w2", "long").add("w3", "long").add("blocks", T.ArrayType(T.IntegerType()))
 
 
 def signatures(turned: int):
@@ -85,10 +86,10 @@ def signatures(turned: int):
                 rows.append((None, None, votes(Counter())) if ws is None else (hashlib.md5(" ".join(ws).encode()).hexdigest(), len(ws), votes(Counter(ws))))
             vote = np.stack([v for _, _, v in rows])
             df = pd.DataFrame({"words_hash": [h for h, _, _ in rows], "n_words": pd.array([n for _, n, _ in rows], "Int32")})
-            df["sample"] = np.packbits(vote[:, :64] > 0, axis=1).view(np.int64).ravel()
+            df[["sample", "w1", "w2", "w3"]] = np.packbits(vote > 0, axis=1).view(np.int64)
             df["blocks"] = list(blocks_of(vote, turned))
             parts.append(df)
-        return pd.concat(parts) if parts else pd.DataFrame({"words_hash": [], "n_words": [], "sample": [], "blocks": []})
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in SIGNATURE.names})
 
     return signed
 
@@ -162,13 +163,17 @@ def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: s
     signed, texts = zip(_side(left, key, text, order, "left", 0), _side(right, key, text, order, "right", TURNED))
     classes, members = [], []
     for s in signed:
-        c = s.groupBy("words_hash").agg(F.min("k").alias("rep"), F.first("n_words").alias("n"), F.first("sample").alias("sample"), F.first("blocks").alias("blocks"))
-        classes.append(c.select("rep", "n", "sample", F.explode("blocks").alias("block")))
+        c = s.groupBy("words_hash").agg(F.min("k").alias("rep"), *[F.first(x).alias(x) for x in ("n_words", "sample", "w1", "w2", "w3", "blocks")])
+        classes.append(c)
         members.append(s.select("words_hash", "k").join(c.select("words_hash", "rep"), "words_hash").select("rep", "k"))
-    a = classes[0].select("block", F.col("rep").alias("l"), F.col("n").alias("ln"), F.col("sample").alias("ls"))
-    b = classes[1].select("block", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("sample").alias("rs"))
-    near = (F.bit_count(F.col("ls").bitwiseXOR(F.col("rs"))) <= RADIUS_OF_64) & (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn"))
-    candidates = materialize(a.join(b, "block").where(near).select("l", "r").distinct(), "p5-candidates")
+    a, b = (c.select(F.explode("blocks").alias("block"), F.col("rep").alias(x), F.col("n_words").alias(f"{x}n"), F.col("sample").alias(f"{x}s")) for c, x in zip(classes, "lr"))
+    apart = F.bit_count(F.col("ls").bitwiseXOR(F.col("rs")))
+    near = (apart <= RADIUS_OF_64) & (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn"))
+    candidates = a.join(b, "block").where(near).select("l", "r", apart.alias("apart")).distinct()
+    for c, x in zip(classes, "lr"):
+        candidates = candidates.join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in ("w1", "w2", "w3")]), x)
+    rest = sum(F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in ("w1", "w2", "w3"))
+    candidates = materialize(candidates.where(F.col("apart") + rest <= RADIUS).select("l", "r"), "p5-candidates")
     pairs = candidates.join(texts[1].select(F.col("k").alias("r"), F.col("t").alias("rt")), "r").join(texts[0].select(F.col("k").alias("l"), F.col("t").alias("lt")), "l")
     links = materialize(pairs.where(alike("lt", "rt", F.lit(percent))).select("l", "r"), "p5-links")
     return links, *members
