@@ -14,6 +14,7 @@ from codegrain.llm import formatting_duplicates as p1
 from codegrain.llm import lookalikes as p8
 from codegrain.llm import mixing as p7
 from codegrain.llm import splitting as p4
+from codegrain.llm import syntax as p2
 from codegrain.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,22 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.collapsed(train, "idx", "func", "ingested_at").select(F.col("keep").alias("keep_idx"), "copies")
 
 
+def _p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.verdicts(read_table(spark, sf_dir, "primevul_train"), "idx", "func", "file_path", "ingested_at", "vulnir", "project")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.ill_formed(_p2_verdicts(spark, sf_dir), "idx", "func", "vulnir")
+
+
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p2_verdicts(spark, sf_dir).withColumnRenamed("source", "project").where("verdict is not null")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.rates(_p2_verdicts(spark, sf_dir)).withColumnRenamed("source", "project")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = p3.fit_language(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", home="en")
     return p3.defects(read_table(spark, sf_dir, "train_llama_paired"), language, "pair_id", "cve_desc", ["cve_desc", "func_before", "func_after"],
@@ -87,6 +104,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_collapsed, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
+    for f in (p1_found, p1_collapsed, p2_found, p2_files, p2_rates, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
 }
 ORACLES: dict[str, str] = {}
