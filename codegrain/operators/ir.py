@@ -1,0 +1,599 @@
+"""Event texts from C and C++ functions.
+
+A small tolerant parser finds the events of a function body in preorder: branches, loops, switches,
+gotos, returns, assignments, calls and indexed accesses, with the names they define and use. It
+runs as an Arrow function from code to an array of events. What relates events to each other, runs
+of calls, closures over definitions, the choice and rendering of names, is done on the event table.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codegrain.operators import events as V
+from codegrain.session import materialize
+
+MOST_ERRORS = 120
+TOKEN = re.compile(
+    r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|$))|(?P<str>L?"(?:[^"\\\n]|\\.)*"?)|(?P<chr>L?'(?:[^'\\\n]|\\.)*'?)|(?P<id>[A-Za-z_]\w*)|(?P<num>\.?\d(?:[eEpP][+-]|[\w.])*)"""
+    r"""|(?P<op>->|\+\+|--|<<=|>>=|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|<<|>>|::|\.\.\.|\S)""",
+    re.S,
+)
+DIRECTIVE = re.compile(r"(?m)^[^\S\n]*#.*$")
+TYPE_WORDS = set("void char short int long float double signed unsigned bool auto const volatile static extern register inline struct union enum class typedef constexpr restrict".split())
+STATEMENT_WORDS = set("if for while do switch goto return case default break continue else".split())
+NOT_NAMES = {"NULL", "nullptr", "true", "false"}
+NULL_LIKE = {"NULL", "nullptr", "0", "0u", "0U"}
+COMPARISONS = {"<", "<=", ">", ">=", "==", "!="}
+BINARY = {op: k for k, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "< > <= >=", "<< >>", "+ -", "* / %"), 1) for op in ops.split()}
+ASSIGNMENTS = set("= += -= *= /= %= <<= >>= &= |= ^=".split())
+
+
+class Unparsed(Exception):
+    pass
+
+
+class Node:
+    """A piece of an expression: its kind, its tokens, its parts."""
+
+    __slots__ = ("kind", "start", "end", "parts", "text")
+
+    def __init__(self, kind: str, start: int, end: int, parts: tuple = (), text: str = "") -> None:
+        self.kind, self.start, self.end, self.parts, self.text = kind, start, end, parts, text
+
+
+def shorten(s: str, most: int) -> str:
+    s = re.sub(r"\s+", " ", s.strip())
+    return s if len(s) <= most else s[: most - 3] + "..."
+
+
+class Reader:
+    """Walks the tokens of one source and collects events."""
+
+    def __init__(self, code: str, most_chars: int = 120) -> None:
+        self.code, self.most = code, most_chars
+        self.kinds: list[str] = []
+        self.texts: list[str] = []
+        self.spans: list[tuple[int, int]] = []
+        for m in TOKEN.finditer(code):
+            if m.lastgroup != "skip":
+                self.kinds.append(m.lastgroup)
+                self.texts.append(m.group())
+                self.spans.append(m.span())
+        self.texts.append("")
+        self.kinds.append("end")
+        self.events: list[tuple] = []
+        self.errors = 0
+        self.mate: dict[int, int] = {}
+        stack = []
+        for i, t in enumerate(self.texts):
+            if t in "([{" and t and self.kinds[i] == "op":
+                stack.append(i)
+            elif t in ")]}" and t and self.kinds[i] == "op":
+                if stack and self.texts[stack[-1]] + t in ("()", "[]", "{}"):
+                    self.mate[stack.pop()] = i
+                else:
+                    self.errors += 1
+        self.errors += len(stack)
+        self.newlines = [m.start() for m in re.finditer("\n", code)]
+
+    def line(self, i: int) -> int:
+        from bisect import bisect_left
+
+        return bisect_left(self.newlines, self.spans[i][0]) + 1
+
+    def source(self, a: int, b: int) -> str:
+        return self.code[self.spans[a][0]:self.spans[b - 1][1]] if b > a else ""
+
+    def of(self, node: Node) -> str:
+        return self.source(node.start, node.end)
+
+    # Expressions: precedence climbing.
+
+    def comma(self, i: int) -> tuple[Node, int]:
+        first, j = self.assignment(i)
+        parts = [first]
+        while self.texts[j] == ",":
+            x, j = self.assignment(j + 1)
+            parts.append(x)
+        return (first if len(parts) == 1 else Node("comma", i, j, tuple(parts))), j
+
+    def assignment(self, i: int) -> tuple[Node, int]:
+        left, j = self.conditional(i)
+        if self.texts[j] in ASSIGNMENTS and self.kinds[j] == "op":
+            right, k = self.assignment(j + 1)
+            return Node("assign", i, k, (left, right)), k
+        return left, j
+
+    def conditional(self, i: int) -> tuple[Node, int]:
+        x, j = self.binary(i, 1)
+        if self.texts[j] == "?":
+            a, k = self.comma(j + 1)
+            if self.texts[k] != ":":
+                raise Unparsed
+            b, k = self.conditional(k + 1)
+            return Node("choice", i, k, (x, a, b)), k
+        return x, j
+
+    def binary(self, i: int, level: int) -> tuple[Node, int]:
+        left, j = self.unary(i)
+        while self.kinds[j] == "op" and BINARY.get(self.texts[j], 0) >= level:
+            op = self.texts[j]
+            right, k = self.binary(j + 1, BINARY[op] + 1)
+            left, j = Node("binary", i, k, (left, right), op), k
+        return left, j
+
+    def is_type(self, i: int, end: int) -> bool:
+        """Whether the tokens up to ``end`` can only be a type: a cast."""
+        texts = self.texts[i:end]
+        if not texts or any(self.kinds[k] not in ("id", "op") for k in range(i, end)):
+            return False
+        words = [t for t in texts if t not in "*&"]
+        stars = len(texts) - len(words)
+        known = any(t in TYPE_WORDS for t in words)
+        return bool(words) and all(self.kinds[i + k] == "id" or t in ("*", "&", "::") for k, t in enumerate(texts)) and (known or stars and texts[-1] == "*" and len(words) == 1)
+
+    def unary(self, i: int) -> tuple[Node, int]:
+        t, kind = self.texts[i], self.kinds[i]
+        if kind == "op" and t in ("!", "~", "-", "+", "*", "&", "++", "--"):
+            x, j = self.unary(i + 1)
+            return Node("update" if t in ("++", "--") else "unary", i, j, (x,), t), j
+        if t == "sizeof":
+            if self.texts[i + 1] == "(" and i + 1 in self.mate and self.is_type(i + 2, self.mate[i + 1]):
+                return Node("sizeof", i, self.mate[i + 1] + 1), self.mate[i + 1] + 1
+            x, j = self.unary(i + 1)
+            return Node("sizeof", i, j, (x,)), j
+        if t in ("new", "delete", "throw") and kind == "id":
+            if self.texts[i + 1] == ";":
+                return Node("other", i, i + 1), i + 1
+            if t == "delete" and self.texts[i + 1] == "[":
+                i += 2
+            x, j = self.assignment(i + 1)
+            return Node("other", i, j, (x,)), j
+        if t == "(" and i in self.mate and self.is_type(i + 1, self.mate[i]):
+            x, j = self.unary(self.mate[i] + 1)
+            return Node("cast", i, j, (x,)), j
+        return self.postfix(i)
+
+    def postfix(self, i: int) -> tuple[Node, int]:
+        t, kind = self.texts[i], self.kinds[i]
+        if kind in ("num", "str", "chr"):
+            j = i + 1
+            while self.kinds[j] == "str" and kind == "str":
+                j += 1
+            x = Node("literal", i, j, (), kind)
+        elif kind == "id" and t not in STATEMENT_WORDS:
+            j = i + 1
+            while self.texts[j] == "::" and self.kinds[j + 1] == "id":
+                j += 2
+            if self.texts[j] == "<" and (k := self.angle(j)) and self.texts[k] in ("(", "::"):
+                j = k
+                while self.texts[j] == "::" and self.kinds[j + 1] == "id":
+                    j += 2
+            x = Node("name" if j == i + 1 else "qualified", i, j)
+        elif t == "(" and i in self.mate:
+            inner, j = self.comma(i + 1)
+            if self.texts[j] != ")":
+                raise Unparsed
+            x, j = Node("paren", i, j + 1, (inner,)), j + 1
+        elif t == "{" and i in self.mate:
+            x, j = Node("list", i, self.mate[i] + 1), self.mate[i] + 1
+        elif t == "[" and i in self.mate:  # a closure
+            j = self.mate[i] + 1
+            if self.texts[j] == "(" and j in self.mate:
+                j = self.mate[j] + 1
+            while self.texts[j] not in ("{", ";", "") and self.texts[j] != ")":
+                j += 1
+            if self.texts[j] != "{" or j not in self.mate:
+                raise Unparsed
+            x, j = Node("closure", i, self.mate[j] + 1), self.mate[j] + 1
+        else:
+            raise Unparsed
+        while True:
+            t = self.texts[j]
+            if t == "(" and j in self.mate:
+                args, k = [], j + 1
+                while self.texts[k] != ")":
+                    a, k = self.assignment(k)
+                    args.append(a)
+                    if self.texts[k] == ",":
+                        k += 1
+                    elif self.texts[k] != ")":
+                        raise Unparsed
+                x, j = Node("call", i, k + 1, (x, *args)), k + 1
+            elif t == "[" and j in self.mate:
+                a, k = self.comma(j + 1)
+                if self.texts[k] != "]":
+                    raise Unparsed
+                x, j = Node("index", i, k + 1, (x, a)), k + 1
+            elif t in (".", "->") and self.kinds[j + 1] == "id":
+                x, j = Node("field", i, j + 2, (x,), self.texts[j + 1]), j + 2
+            elif t in ("++", "--"):
+                x, j = Node("update", i, j + 1, (x,), t), j + 1
+            else:
+                return x, j
+
+    def angle(self, i: int) -> int:
+        """The position after template arguments, 0 if these are none."""
+        depth = 0
+        for j in range(i, min(i + 40, len(self.texts))):
+            t = self.texts[j]
+            depth += (t == "<") - (t == ">") - 2 * (t == ">>")
+            if depth <= 0:
+                return j + 1
+            if t in (";", "{", "}", "&&", "||", ""):
+                return 0
+        return 0
+
+    # Names
+
+    def symbol(self, n: Node) -> str:
+        k = n.kind
+        if k == "literal":
+            return ""
+        if k == "name":
+            return self.texts[n.start]
+        if k == "field":
+            base = self.symbol(n.parts[0])
+            arrow = "->" if "->" in self.of(n) else "."
+            return f"{base}{arrow}{n.text}" if base else ""
+        if k in ("paren", "unary"):
+            return self.symbol(n.parts[0])
+        if k == "index":
+            b, i = self.symbol(n.parts[0]), self.symbol(n.parts[1])
+            return f"{b}[{i}]" if b and i else b or i
+        return shorten(self.of(n), 60)
+
+    def names(self, n: Node | None) -> set[str]:
+        out: set[str] = set()
+
+        def walk(x: Node) -> None:
+            if x.kind == "name":
+                out.add(self.texts[x.start])
+            elif x.kind == "field":
+                out.update((self.symbol(x), self.symbol(x.parts[0])))
+                walk(x.parts[0])
+            else:
+                for p in x.parts:
+                    walk(p)
+
+        if n is not None:
+            walk(n)
+        return out - NOT_NAMES - {""}
+
+    def guarded(self, n: Node) -> set[str]:
+        """Names that a condition checks or bounds by."""
+        if n.kind == "unary" and n.text == "!":
+            inner = n.parts[0]
+            found = {self.symbol(inner)} - {""} if inner.kind in ("name", "field", "paren", "index") else set()
+            return found | self.guarded(inner)
+        if n.kind == "binary" and n.text in COMPARISONS:
+            left, right = n.parts
+            a, b = self.names(left), self.names(right)
+            plain = lambda x: self.of(x).strip() in NULL_LIKE or x.kind == "literal" and x.text == "num"
+            if plain(left) and b:
+                return b
+            if plain(right) and a:
+                return a
+            if a and b:
+                return a | b
+        return set().union(*map(self.guarded, n.parts)) if n.parts else set()
+
+    # Events
+
+    def event(self, at: int, kind: str, text: str, defs=(), uses=(), keys=(), tag: str = "") -> None:
+        self.events.append((len(self.events), self.line(at), kind, tag, text, sorted(defs), sorted(uses), sorted(keys)))
+
+    def call(self, n: Node, lhs: str = "") -> None:
+        fn, *args = n.parts
+        if fn.kind == "field":
+            callee = fn.text
+        elif fn.kind == "qualified":
+            callee = self.of(fn).split("::")[-1].strip()
+        else:
+            callee = shorten(self.of(fn), 60)
+        callee = callee.strip().removeprefix("__builtin_")
+        tag = V.CATEGORY_OF.get(callee, "")
+        uses = set().union(*map(self.names, args)) if args else set()
+        at = V.SINK_ARGUMENTS[tag] if tag in V.SINK_ARGUMENTS else (0, 1)
+        keys = {self.symbol(args[p]) for p in at if p < len(args)} - {""}
+        defs = {lhs} - {""}
+        self.event(n.start, "CALL", f"{callee}(...)" + (f" -> {lhs}" if lhs else ""), defs, uses, keys | defs or uses, tag)
+
+    def assigned(self, at: int, lhs: str, value: Node) -> None:
+        if value.kind == "call":
+            self.call(value, lhs)
+            # The definition depends on the callee too, as in any other value.
+            self.events[-1] = (*self.events[-1][:6], sorted(self.names(value)), self.events[-1][7])
+            return
+        uses = self.names(value)
+        self.event(at, "SET", f"{lhs} = {shorten(self.of(value), self.most)}", {lhs}, uses, {lhs, *sorted(uses)[:2]}, "DF")
+
+    def visit(self, n: Node) -> None:
+        """Calls and indexed accesses within an expression, outer ones first."""
+        if n.kind == "call":
+            self.call(n)
+        elif n.kind == "index" and self.names(n.parts[1]):
+            keys = {self.symbol(n.parts[0]), self.symbol(n.parts[1])} - {""}
+            self.event(n.start, "INDEX", shorten(self.of(n), 80), (), self.names(n), keys, "SINK")
+        for p in n.parts:
+            self.visit(p)
+
+    def expression_statement(self, n: Node) -> None:
+        if n.kind == "assign":
+            left, right = n.parts
+            lhs = self.symbol(left)
+            if lhs:
+                value = re.sub(r"\s+", "", self.of(right))
+                if not re.fullmatch(rf"{re.escape(lhs)}[+-]1[uU]?", value):
+                    self.assigned(n.start, lhs, right)
+                self.visit(left)
+                self.visit(right)
+                return
+        if n.kind == "update":
+            for p in n.parts:
+                self.visit(p)
+            return
+        self.visit(n)
+
+    # Statements
+
+    def condition(self, i: int, word: str, tag: str = "GUARD") -> int:
+        """A condition in parentheses at ``i``: its event, then what is in it."""
+        if self.texts[i] != "(" or i not in self.mate:
+            raise Unparsed
+        n, j = self.comma(i + 1)
+        if j != self.mate[i]:
+            raise Unparsed
+        text = shorten(self.source(i, j + 1), self.most)
+        uses = self.names(n)
+        if tag == "GUARD":
+            self.event(i - 1, "BRANCH", f"{word} ({text})", (), uses, self.guarded(n), tag)
+        else:
+            self.event(i - 1, "SWITCH", f"{word} ({text})", (), uses, uses, tag)
+        self.visit(n)
+        return j + 1
+
+    def statement(self, i: int, end: int) -> int:
+        t = self.texts[i]
+        if t == "{" and i in self.mate:
+            self.block(i + 1, self.mate[i])
+            return self.mate[i] + 1
+        if t == ";":
+            return i + 1
+        if t in ("if", "while", "switch"):
+            j = i + 1 + (self.texts[i + 1] == "constexpr")
+            j = self.condition(j, t, "CTRL" if t == "switch" else "GUARD")
+            j = self.statement(j, end)
+            if t == "if" and self.texts[j] == "else":
+                j = self.statement(j + 1, end)
+            return j
+        if t == "do":
+            at = len(self.events)
+            j = self.statement(i + 1, end)
+            if self.texts[j] != "while":
+                raise Unparsed
+            inner = self.events[at:]
+            del self.events[at:]
+            k = self.condition(j + 1, "do")
+            head, tail = self.events[at], self.events[at + 1:]
+            head = (head[0], self.line(i), *head[2:])
+            self.events[at:] = [(at + p, *e[1:]) for p, e in enumerate([head, *inner, *tail])]
+            return k + 1
+        if t == "for":
+            return self.loop(i, end)
+        if t == "goto":
+            self.event(i, "GOTO", f"goto {self.texts[i + 1]}", tag="CTRL")
+            return i + 3
+        if t == "return":
+            if self.texts[i + 1] == ";":
+                self.event(i, "RET", "return", tag="CTRL")
+                return i + 2
+            n, j = self.comma(i + 1)
+            if self.texts[j] != ";":
+                raise Unparsed
+            uses = self.names(n)
+            self.event(i, "RET", f"return {shorten(self.of(n), self.most)}", (), uses, uses, "CTRL")
+            return j + 1
+        if t in ("break", "continue"):
+            return i + 2
+        if t == "case":
+            _, j = self.conditional(i + 1)
+            if self.texts[j] != ":":
+                raise Unparsed
+            return j + 1
+        if self.texts[i + 1] == ":" and self.kinds[i] == "id":
+            return i + 2
+        if t in ("try", "else"):
+            return i + 1
+        if t == "catch":
+            return self.mate[i + 1] + 1 if i + 1 in self.mate else i + 1
+        return self.simple(i, ";")
+
+    def loop(self, i: int, end: int) -> int:
+        if self.texts[i + 1] != "(" or i + 1 not in self.mate:
+            raise Unparsed
+        close = self.mate[i + 1]
+        a = self.semicolon(i + 2, close)
+        if a < 0:  # over a range
+            return self.statement(close + 1, end)
+        b = self.semicolon(a + 1, close)
+        if b < 0:
+            raise Unparsed
+        if b > a + 1:
+            n, _ = self.comma(a + 1)
+            self.event(i, "BRANCH", f"for ({shorten(self.of(n), self.most)})", (), self.names(n), self.guarded(n), "GUARD")
+        if a > i + 2:
+            at = len(self.events)
+            if self.declares(i + 2):
+                self.simple(i + 2, ";")
+            else:
+                n, _ = self.comma(i + 2)
+                del self.events[at:]
+                self.visit(n)
+        if b > a + 1:
+            self.visit(n if a <= i + 2 else self.comma(a + 1)[0])
+        if close > b + 1:
+            self.visit(self.comma(b + 1)[0])
+        return self.statement(close + 1, end)
+
+    def semicolon(self, i: int, end: int) -> int:
+        while i < end:
+            if self.texts[i] == ";":
+                return i
+            i = self.mate.get(i, i) + 1
+        return -1
+
+    def declares(self, i: int) -> int:
+        """If a declaration begins at ``i``, the position of its first declarator, else 0."""
+        j, typed = i, False
+        while self.kinds[j] == "id":
+            t = self.texts[j]
+            if t in ("struct", "union", "enum", "class"):
+                j += 2
+                typed = True
+            elif t in TYPE_WORDS:
+                typed = typed or t not in ("const", "volatile", "static", "extern", "register", "inline", "constexpr")
+                j += 1
+            elif not typed and t not in STATEMENT_WORDS and t not in ("sizeof", "new", "delete", "throw"):
+                j += 1
+                while self.texts[j] == "::" and self.kinds[j + 1] == "id":
+                    j += 2
+                if self.texts[j] == "<" and (k := self.angle(j)):
+                    j = k
+                    while self.texts[j] == "::" and self.kinds[j + 1] == "id":
+                        j += 2
+                typed = True
+            else:
+                break
+        if not typed:
+            return 0
+        k = j
+        while self.texts[k] in ("*", "&", "&&", "const"):
+            k += 1
+        if self.kinds[k] != "id" or self.texts[k] in STATEMENT_WORDS:
+            return 0
+        after = self.texts[k + 1]
+        return j if after in ("=", ";", ",", "[", "(", "{", ":") and (k > i) else 0
+
+    def simple(self, i: int, stop: str) -> int:
+        """A declaration or an expression up to a semicolon."""
+        j = self.declares(i)
+        if not j:
+            n, k = self.comma(i)
+            if self.texts[k] != stop:
+                raise Unparsed
+            self.expression_statement(n)
+            return k + 1
+        values = []
+        while True:
+            while self.texts[j] in ("*", "&", "&&", "const"):
+                j += 1
+            at, name = j, self.texts[j]
+            j += 1
+            while self.texts[j] == "[" and j in self.mate:
+                j = self.mate[j] + 1
+            if self.texts[j] == "=":
+                n, j = self.assignment(j + 1)
+                values.append((at, name, n))
+            elif self.texts[j] in ("(", "{") and j in self.mate:
+                j = self.mate[j] + 1
+            if self.texts[j] == ",":
+                j += 1
+                continue
+            if self.texts[j] != stop:
+                raise Unparsed
+            break
+        for at, name, n in values:
+            self.assigned(at, name, n)
+        for _, _, n in values:
+            self.visit(n)
+        return j + 1
+
+    def block(self, i: int, end: int) -> None:
+        while i < end:
+            at = len(self.events)
+            try:
+                j = self.statement(i, end)
+                if j <= i:
+                    raise Unparsed
+            except (Unparsed, IndexError, RecursionError):
+                del self.events[at:]
+                self.errors += 1
+                j = self.semicolon(i, end) + 1 or end
+                if self.errors > MOST_ERRORS:
+                    return
+            i = j
+
+    def read(self) -> list[tuple] | None:
+        """The events of the first function's body, None if there are too many errors."""
+        start = next((k for k, t in enumerate(self.texts) if t == "{" and k in self.mate and k and self.texts[k - 1] in (")", "const", "noexcept", ";")), None)
+        if start is None:
+            start = next((k for k, t in enumerate(self.texts) if t == "{" and k in self.mate), None)
+        if start is None:
+            self.block(0, len(self.texts) - 1)
+        else:
+            self.block(start + 1, self.mate[start])
+        return None if self.errors > MOST_ERRORS else self.events
+
+
+def cleaned(code: str) -> str:
+    code = code.replace("\r\n", "\n").replace("\r", "\n").replace("\t", "    ")
+    return DIRECTIVE.sub("", "\n".join(x.rstrip("\0").rstrip() for x in code.split("\n")))
+
+
+NAMES = T.ArrayType(T.StringType())
+EVENT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("line", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in ("kind", "tag", "text")] + [T.StructField(c, NAMES) for c in ("defs", "uses", "keys")])
+READ = T.StructType().add("status", "string").add("events", T.ArrayType(EVENT))
+
+
+@F.pandas_udf(READ)
+def read_events(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """For each code whether it was read, is empty or failed, and its events."""
+    for s in codes:
+        status, out = [], []
+        for code in s:
+            found = Reader(cleaned(code)).read() if code and code.strip() else []
+            status.append("failed" if found is None else "read" if found else "empty")
+            out.append(found or [])
+        yield pd.DataFrame({"status": status, "events": out})
+
+
+def generated(df: DataFrame, key: str, code: str, most_events: int = 220) -> DataFrame:
+    """``(key, ir)``: the event text of each code; a sentinel for codes without events or that fail.
+
+    Names of an event: those within two steps of its key names, its definitions first, by score; three
+    to five of them, filled up to three from its uses. The first three name the line that last defines them.
+    """
+    read = materialize(df.select(key, read_events(F.col(code)).alias("r")).select(key, "r.status", "r.events"), "ir-events")
+    raw = read.select(key, F.explode("events").alias("e")).select(key, "e.*")
+    edges, lines = V.dependencies(raw, key)
+    events = V.compressed(raw.drop("keys"), key)
+    keyed = raw.select(key, "pos", "keys").join(events.select(key, F.col("pos").alias("start"), (F.col("pos") + F.col("calls")).alias("stop")), key).where("pos >= start and pos < stop")
+    keys = keyed.select(key, F.col("start").alias("pos"), F.explode("keys").alias("name")).distinct()
+    near = V.closure(keys, edges, key).unionByName(events.select(key, "pos", F.explode("defs").alias("name"))).distinct()
+    seeded = keys.withColumn("seed", F.lit(True))
+    facts = events.select(key, "pos", "kind", "tag", "defs", "uses")
+    n_seeds = keys.groupBy(key, "pos").agg(F.count("*").alias("seeds"))
+    first = near.join(facts, [key, "pos"]).join(seeded, [key, "pos", "name"], "left").withColumn("filler", F.lit(0))
+    fill = facts.withColumn("name", F.explode("uses")).join(near, [key, "pos", "name"], "left_anti").withColumn("seed", F.lit(None).cast("boolean")).withColumn("filler", F.lit(1))
+    all_ = first.unionByName(fill.select(first.columns)).join(n_seeds, [key, "pos"], "left").where(~F.col("name").isin("NULL", "nullptr"))
+    has = lambda c: F.array_contains(c, F.col("name"))
+    score = F.when(F.col("filler") == 1, 0).otherwise(F.when(F.col("seed"), 100).otherwise(0) + F.when(has("defs"), 60).otherwise(0) + F.when(has("uses"), 20).otherwise(0) - F.floor(F.least(F.length("name"), F.lit(40)) / 10))
+    w = W.partitionBy(key, "pos").orderBy("filler", F.desc(score), F.when(F.col("filler") == 0, F.length("name")).otherwise(0), "name")
+    most = F.when((F.col("tag") == "SINK") | (F.col("kind").isin("INDEX", "BRANCH")) | F.col("tag").isin(*V.CATEGORIES), 5).when(F.coalesce("seeds", F.lit(0)) >= 2, 4).otherwise(3)
+    ranked = all_.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= most) & ((F.col("filler") == 0) | (F.col("rank") <= 3)))
+    shown = ranked.join(lines.withColumnRenamed("line", "defined"), [key, "name"], "left")
+    name = F.when((F.col("rank") <= 3) & F.col("defined").isNotNull(), F.concat("name", F.lit("@"), F.col("defined").cast("string"))).otherwise(F.col("name"))
+    uses = shown.groupBy(key, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", name.alias("name")))), lambda x: x["name"]).alias("shown"))
+    final = events.join(uses, [key, "pos"], "left").withColumn("uses", F.coalesce("shown", F.array().cast("array<string>")))
+    text = V.rendered(final, key, most_events)
+    other = F.when(F.col("status") == "failed", V.FAILED).otherwise(V.EMPTY)
+    return read.select(key, "status").join(text, key, "left").select(key, F.coalesce("ir", other).alias("ir"))
