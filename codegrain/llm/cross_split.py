@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from codegrain.session import materialize
 
 WORD = re.compile(r"[a-z0-9_]+")
-BITS, BLOCK_BITS, BLOCKS, TURNED = 256, 20, 40, 3
-#: Hamming radius, and that within the 64 bits that travel with a block. Pairs at 15 % of edits differ in
-#: about a seventh of the bits (37, standard deviation 6), unrelated ones in 115.
+BITS, BLOCK_BITS, BLOCKS, TURNED = 512, 20, 48, 3
+#: Hamming radius within the first 256 bits, and within the 64 of them that travel with a block. Pairs at 15 % of
+#: edits differ in about a seventh of the bits (37, standard deviation 6), unrelated ones in 115.
 RADIUS, RADIUS_OF_64 = 70, 23
 
 
@@ -86,7 +86,7 @@ def signatures(turned: int):
                 rows.append((None, None, votes(Counter())) if ws is None else (hashlib.md5(" ".join(ws).encode()).hexdigest(), len(ws), votes(Counter(ws))))
             vote = np.stack([v for _, _, v in rows])
             df = pd.DataFrame({"words_hash": [h for h, _, _ in rows], "n_words": pd.array([n for _, n, _ in rows], "Int32")})
-            df[["sample", "w1", "w2", "w3"]] = np.packbits(vote > 0, axis=1).view(np.int64)
+            df[["sample", "w1", "w2", "w3"]] = np.packbits(vote[:, :256] > 0, axis=1).view(np.int64)
             df["blocks"] = list(blocks_of(vote, turned))
             parts.append(df)
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in SIGNATURE.names})
