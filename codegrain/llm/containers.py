@@ -199,13 +199,10 @@ def items(df: DataFrame, key: str, text: str, order: str, capacity: int, tokeniz
     """``(k, piece, start, end, n)``: one row per text, or per part of a text over the capacity."""
 
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokens.load(tokenizer)
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i:i + 256]
-                ns = [len(e.ids) for e in t.encode_batch_fast(part["t"].tolist(), add_special_tokens=False)]
-                parts = [[(j, x, y, m) for j, (x, y, m) in enumerate(tokens.cuts(s, capacity, tokenizer), 1)] if n > capacity else [(1, 0, len(s), n)] for s, n in zip(part["t"], ns)]
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "o": part["o"].to_numpy(), "parts": parts})
+            sizes = [tokens.size(s, tokenizer) for s in b["t"]]
+            parts = [[(j, x, y, m) for j, (x, y, m) in enumerate(tokens.cuts(s, capacity, tokenizer), 1)] if n > capacity else [(1, 0, len(s), n)] for s, n in zip(b["t"], sizes)]
+            yield pd.DataFrame({"k": b["k"].to_numpy(), "o": b["o"].to_numpy(), "parts": parts})
 
     rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(order), F.lit("1000-01-01").cast("timestamp")).alias("o"), F.col(text).alias("t"))
     last = rows.mapInPandas(sized, ITEMS).groupBy("k").agg(F.max_by("parts", "o").alias("parts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,17 +11,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how this family of vocabularies cuts text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(2)
-def load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+def load(path: str, pattern: str = PATTERN):
+    """A byte-level tokenizer from a file of ranks; no text is special to it."""
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def size(text: str, path: str = TOKENIZER) -> int:
+    return len(load(path).encode_ordinary(text))
 
 
 def count(text: Column, path: str = TOKENIZER) -> Column:
@@ -29,18 +35,21 @@ def count(text: Column, path: str = TOKENIZER) -> Column:
 
     @F.pandas_udf(T.LongType())
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = load(path)
         for s in batches:
-            out = []
-            for i in range(0, len(s), 256):
-                part = s.iloc[i:i + 256]
-                sizes = iter(t.encode_batch_fast([x for x in part if x is not None], add_special_tokens=False))
-                out += [None if x is None else len(next(sizes).ids) for x in part]
-            yield pd.Series(out, dtype="Int64")
+            yield pd.Series([None if x is None else size(x, path) for x in s], dtype="Int64")
 
     return counted(text)
 
 
+def character_starts(parts: list[bytes]) -> list[int]:
+    """For each token the number of characters that begin before it; one within a character belongs to its end."""
+    out, n = [], 0
+    for p in parts:
+        out.append(n)
+        n += sum(b & 0xC0 != 0x80 for b in p)
+    return out
+
+
 def cuts(text: str, capacity: int, path: str = TOKENIZER) -> list[tuple[int, int, int]]:
     """``(start, end, tokens)`` of consecutive parts of a text of at most ``capacity`` tokens each.
 
@@ -50,26 +59,26 @@ def cuts(text: str, capacity: int, path: str = TOKENIZER) -> list[tuple[int, int
     """
     t = load(path)
     out, start = [], 0
-    size = lambda a, b: len(t.encode(text[a:b], add_special_tokens=False).ids)
     while start < len(text):
         rest = text[start:]
-        offsets = t.encode(rest, add_special_tokens=False).offsets
-        if len(offsets) <= capacity:
-            out.append((start, len(text), len(offsets)))
+        ids = t.encode_ordinary(rest)
+        if len(ids) <= capacity:
+            out.append((start, len(text), len(ids)))
             break
+        starts = character_starts(t.decode_tokens_bytes(ids[: capacity + 1]))
         stop = capacity
         while stop > capacity // 2:
-            a, b = offsets[stop]
-            if rest[a:a + 1] == " " and rest[a + 1:a + 2].isalpha() and not rest[a - 1:a].isspace() and a and offsets[stop - 1][1] <= a:
+            a = starts[stop]
+            if a and rest[a] == " " and rest[a + 1:a + 2].isalpha() and not rest[a - 1].isspace():
                 break
             stop -= 1
         else:
             stop = capacity
-        end = start + offsets[stop][0]
-        while end > start + 1 and size(start, end) > capacity:  # a character may be several tokens
+        end = start + starts[stop]
+        while end > start + 1 and size(text[start:end], path) > capacity:  # a character may be several tokens
             stop -= 1
-            end = start + offsets[stop][0]
+            end = start + starts[stop]
         end = max(end, start + 1)
-        out.append((start, end, size(start, end)))
+        out.append((start, end, size(text[start:end], path)))
         start = end
     return out
