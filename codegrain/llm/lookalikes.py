@@ -246,5 +246,9 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, order: str) -> DataFrame
     spellings = last.groupBy("form", "spelling").agg(F.count("*").alias("n"))
     several = spellings.groupBy("form").agg(F.count("*").alias("spellings")).where("spellings > 1").select("form")
     varied = materialize(last.join(several, "form"), "p8-varied")
-    a, b = varied.select("form", F.col("spelling").alias("s"), F.col("k").alias("a")), varied.select("form", F.col("spelling").alias("z"), F.col("k").alias("b"))
-    return a.join(b, "form").where("a < b and s <> z").select("a", "b")
+    spelled = varied.select("form", "spelling").distinct()
+    x, y = spelled.select("form", F.col("spelling").alias("s")), spelled.select("form", F.col("spelling").alias("z"))
+    pairs = x.join(y, "form").where("s < z").select("s", "z")
+    members = varied.select("spelling", "k")
+    out = pairs.join(members.select(F.col("spelling").alias("s"), F.col("k").alias("a")), "s").join(members.select(F.col("spelling").alias("z"), F.col("k").alias("b")), "z")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

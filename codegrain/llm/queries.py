@@ -106,4 +106,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (p1_found, p1_collapsed, p2_found, p2_files, p2_rates, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": """SELECT DISTINCT 'primevul_train' AS table_name, idx AS rec_id FROM primevul_train WHERE floor(length(func) / 3.5) > 1000
+        UNION ALL SELECT DISTINCT 'train_aug_paired', pair_id FROM train_aug_paired WHERE floor(length(func_before) / 3.5) > 1000""",
+}
