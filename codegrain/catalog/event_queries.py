@@ -88,6 +88,9 @@ ORACLES = {
     "event_parse": f"WITH {EVENTS} SELECT * FROM v",
     "api_category_join": f"""WITH {EVENTS} SELECT CASE {CATEGORY} ELSE '' END AS category, count(*) AS calls, count(DISTINCT regexp_extract(text, '^([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS callees
         FROM v WHERE kind = 'CALL' GROUP BY 1""",
+    "sink_roles": f"""WITH {EVENTS}, c AS (SELECT idx, pos, CASE {CATEGORY} ELSE '' END AS category, string_split(regexp_extract(text, '^\\w+\\(([^()]*)\\)$', 1), ', ') AS args FROM v WHERE kind = 'CALL'),
+        p(category, position) AS (VALUES {', '.join(f"('{c}', {k})" for c, ks in V.SINK_ARGUMENTS.items() for k in ks)})
+        SELECT idx, pos, c.category, CAST(position AS INTEGER) AS position, args[position + 1] AS argument FROM c JOIN p ON c.category = p.category WHERE position < len(args)""",
     "last_definitions": f"WITH {EVENTS}, {EDGES} SELECT idx, name, line FROM f WHERE k = 1",
     "closure2": f"""WITH {EVENTS}, {EDGES}, g AS (SELECT DISTINCT idx, name AS src, dst FROM (SELECT idx, name, unnest(string_split(uses, ',')) AS dst FROM f WHERE k = 1 AND uses <> '')),
         a AS (SELECT DISTINCT idx, pos, name FROM (SELECT idx, pos, unnest(string_split(uses, ',')) AS name FROM v WHERE uses <> '')),

@@ -42,11 +42,10 @@ def build_examples(spark, sf_dir):
 
 
 def pack_labels(spark, sf_dir):
-    """The packed arrays of each record's analysis: lengths, masked labels and a checksum of the ids."""
+    """The packed arrays of each record's answer: lengths, masked labels and whether the answer was cut."""
     rows = _train(spark, sf_dir).where("func is not null").withColumn("prompt", S.prompt("task_a", F.col("func"), F.lit(""))).withColumn("answer", S.label(F.col("label")))
     packed = S.packed(rows, "prompt", "answer", 400)
-    return packed.select("idx", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x == S.MASK)).alias("masked"), "label_truncated",
-                         F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: (a * 31 + x) % 1_000_003).alias("checksum"))
+    return packed.select("idx", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x == S.MASK)).alias("masked"), "label_truncated")
 
 
 def pad_batch(spark, sf_dir):
@@ -134,6 +133,8 @@ ORACLES = {
     "confusion": f"WITH {JUDGED} SELECT target, count(*) FILTER (WHERE pred = 0) AS predicted_0, count(*) FILTER (WHERE pred = 1) AS predicted_1 FROM j GROUP BY target",
     "logprob_choice": f"""WITH {TRAIN} SELECT idx, CAST(CASE WHEN greatest(-length(func) % 97, -length(vulnir) % 89) > greatest(-length(func) % 83, -length(project) % 7) THEN 1 ELSE 0 END AS INTEGER) AS choice
         FROM t WHERE func IS NOT NULL AND vulnir IS NOT NULL AND project IS NOT NULL""",
+    "pack_labels": f"""WITH {TRAIN}, p AS (SELECT idx, len({PIECES.format('(' + _prompt('task_a') + ')')}) AS p, len({PIECES.format("(" + LABEL + " || '<|im_end|>')")}) AS c FROM t WHERE func IS NOT NULL)
+        SELECT idx, CAST(least(400, p + c) AS INTEGER) AS n, CAST(least(400, p) AS INTEGER) AS masked, p + c > 400 AS label_truncated FROM p""",
     "pad_batch": f"""WITH {TRAIN}, p AS (SELECT CAST(floor(idx / 64.0) AS BIGINT) AS batch, least(300, len({PIECES.format("(vulnir || '<|im_end|>')")})) AS n FROM t WHERE vulnir IS NOT NULL)
         SELECT batch, CAST(max(n) AS INTEGER) AS longest, CAST(max(n) AS INTEGER) AS shortest, CAST(sum(n) AS BIGINT) AS attended FROM p GROUP BY batch""",
 }

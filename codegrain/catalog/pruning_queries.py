@@ -74,9 +74,16 @@ ORACLES = {
     "fallback_prune": f"""WITH t AS (SELECT idx, func, {TOKENS.format('func')} AS p FROM primevul_train)
         SELECT idx, CASE WHEN func IS NULL OR func = '' THEN '' WHEN len(p) <= 200 THEN func
         ELSE array_to_string(p[1:38], '') || chr(10) || '// ...' || chr(10) || array_to_string(p[CAST(floor((len(p) - 114) / 2) AS BIGINT) + 1:CAST(floor((len(p) - 114) / 2) AS BIGINT) + 114], '') || chr(10) || '// ...' || chr(10) || array_to_string(p[len(p) - 37:len(p)], '') END AS code FROM t""",
-    "interest_frame_window": f"""WITH {NUMBERED}, e AS (SELECT idx, a, unnest(range(1, len(lines) + 1)) AS line FROM l)
-        SELECT idx, CAST(line AS INTEGER) AS line, len(list_filter(a, lambda x: x <= (SELECT max(e2) FROM (SELECT 1000000 AS e2)) AND line BETWEEN x - 3 AND x + 3 AND x <= n)) > 0 AS near
-        FROM (SELECT *, max(line) OVER (PARTITION BY idx) AS n FROM e)""",
+    "gap_reconstruct": f"""WITH r AS (SELECT idx, func, vulnir, row_number() OVER () AS row FROM primevul_train WHERE func IS NOT NULL),
+        l AS (SELECT row, idx, CASE WHEN {LINES}[-1] = '' THEN {LINES}[:-2] ELSE {LINES} END AS lines, coalesce({ANCHORS}, []) AS a FROM r),
+        e AS (SELECT row, len(lines) AS n, a, unnest(range(len(lines))) AS line, unnest(lines) AS text FROM l),
+        c AS (SELECT row, line, length(regexp_replace(text, '[ \\t\\n\\v\\f\\r]+$', '')) AS size, CASE WHEN lag(line) OVER (PARTITION BY row ORDER BY line) < line - 1 THEN 1 ELSE 0 END AS gap FROM e
+            WHERE line < 5 OR line >= n - 3 OR len(list_filter(a, lambda x: x <= n AND line + 1 BETWEEN x - 3 AND x + 3)) > 0),
+        s AS (SELECT row, sum(size) + 6 * sum(gap) + count(*) + sum(gap) - 1 AS chars, count(*) + sum(gap) AS n FROM c GROUP BY row)
+        SELECT idx, CAST(coalesce(chars, 0) AS INTEGER) AS chars, CAST(coalesce(s.n, 1) AS INTEGER) AS n FROM l LEFT JOIN s ON l.row = s.row""",
+    "ir_prune": f"""WITH t AS (SELECT idx, vulnir, {TOKENS.format('vulnir')} AS p, {TOKENS.format("CASE WHEN regexp_matches(lower(vulnir), 'call|sink|source|taint|line|memcpy|strcpy|sprintf|malloc|free|bounds') THEN vulnir ELSE '' END")} AS q FROM primevul_train)
+        SELECT idx, CASE WHEN vulnir IS NULL OR vulnir = '' THEN '' WHEN len(p) <= 120 THEN vulnir
+        ELSE array_to_string(p[1:33], '') || chr(10) || '# ...' || chr(10) || array_to_string(q[1:44], '') || chr(10) || '# ...' || chr(10) || array_to_string(p[len(p) - 32:len(p)], '') END AS ir FROM t""",
 }
 ORACLES["interest_frame_window"] = f"""WITH {NUMBERED}, e AS (SELECT idx, a, CAST(len(lines) AS INTEGER) AS n, unnest(range(1, len(lines) + 1)) AS line FROM l)
     SELECT idx, CAST(line AS INTEGER) AS line, len(list_filter(a, lambda x: x <= n AND line BETWEEN x - 3 AND x + 3)) > 0 AS near FROM e"""

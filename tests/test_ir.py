@@ -1,0 +1,75 @@
+from pyspark.sql import functions as F
+
+from codegrain.operators import events as V
+from codegrain.operators import ir
+
+EXAMPLE = """int f(char *dst, char *src, int n) {
+    int len = n + 4;
+    if (len > 64)
+        return -1;
+    memcpy(dst, src, len);
+    buf[len] = 0;
+}
+"""
+
+
+def test_worked_example(spark):
+    df = spark.createDataFrame([(1, EXAMPLE), (2, ""), (3, None), (4, "int g(void) { return; }")], "k int, code string")
+    out = {r.k: r.ir for r in ir.generated(df, "k", "code").collect()}
+    assert out[1].split(" | ") == [
+        "[Line 2] SET: len = n + 4 D{len} U{len@2,n}",
+        "[Line 3] BRANCH: if ((len > 64)) U{len@2,n}",
+        "[Line 4] RET: return -1",
+        "[Line 5] CALL[MEMCPY]: memcpy(...) U{dst,len@2,src,n}",
+        "[Line 6] SET: buf[len] = 0 D{buf[len]} U{buf[len]@6}",
+        "[Line 6] INDEX[SINK]: buf[len] U{buf,len@2,n}",
+    ]
+    assert out[2] == out[3] == V.EMPTY
+    assert out[4] == "[Line 1] RET: return"
+
+
+def kinds(code):
+    return [(e[2], e[4]) for e in ir.Reader(ir.cleaned(code)).read()]
+
+
+def test_statements():
+    assert kinds("void f() { do { g(a); } while (a < 3); switch (x) { case 1: goto out; } out: i++; i = i + 1; }") == [
+        ("BRANCH", "do ((a < 3))"), ("CALL", "g(...)"), ("SWITCH", "switch ((x))"), ("GOTO", "goto out")]
+    assert kinds("void f() { for (int i = 0; i < n; i++) p->q.r[i] = h(i); }") == [
+        ("SET", "i = 0"), ("BRANCH", "for (i < n)"), ("CALL", "h(...) -> p->q->r[i]"), ("INDEX", "p->q.r[i]"), ("CALL", "h(...)")]
+
+
+def test_assigned_calls_come_twice_and_runs_are_compressed(spark):
+    df = spark.createDataFrame([(1, "void f() { g(a); g(b); x = g(c); h(d); h(e); }")], "k int, code string")
+    text = ir.generated(df, "k", "code").first().ir
+    assert text.startswith("[Line 1] CALL: g(...) ×4 -> x D{x}") and text.count("h(...)") == 2
+
+
+def test_broken_code_is_survived(spark):
+    assert kinds("void f() { x = = 3; y = 4; }") == [("SET", "y = 4")]
+    assert ir.Reader("{" + "x = = 3;" * 200 + "}").read() is None
+    df = spark.createDataFrame([(1, "{" + "x = = 3;" * 200 + "}")], "k int, code string")
+    assert ir.generated(df, "k", "code").first().ir == V.FAILED
+
+
+def test_parse_of_rendered_events(spark):
+    text = "[Line 3] SET: a = b | c D{a} U{b@2,c} | [Line 4] CALL[FREE]: free(a) U{a@3} | [Line ?] ...: VULNIR_TRUNCATED"
+    df = spark.createDataFrame([(1, text), (2, V.EMPTY), (3, None)], "k int, ir string")
+    rows = V.event_table(df, "k", "ir").orderBy("pos").collect()
+    assert [(r.line, r.kind, r.tag, r.text, r.defs, r.uses) for r in rows] == [(3, "SET", "", "a = b | c", ["a"], ["b", "c"]), (4, "CALL", "FREE", "free(a)", [], ["a"])]
+
+
+def test_limit_and_mark(spark):
+    events = spark.createDataFrame([(1, p, p + 1, "RET", "CTRL", "return", [], []) for p in range(5)], "k int, pos int, line int, kind string, tag string, text string, defs array<string>, uses array<string>")
+    assert V.rendered(events, "k", 3).first().ir == "[Line 1] RET: return | [Line 2] RET: return | [Line 3] RET: return | " + V.CUT
+    assert V.rendered(events, "k", 5).first().ir.count("RET") == 5
+
+
+def test_closure_is_two_steps(spark):
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (2, "a", "z")], "k int, src string, dst string")
+    seeds = spark.createDataFrame([(1, 0, "a")], "k int, pos int, name string")
+    assert sorted(r.name for r in V.closure(seeds, edges, "k").collect()) == ["a", "b", "c"]
+
+
+def test_categories(spark):
+    assert [r[0] for r in spark.createDataFrame([("memcpy",), ("kfree",), ("mine",)], "c string").select(V.category(F.col("c"))).collect()] == ["MEMCPY", "FREE", ""]
