@@ -10,7 +10,7 @@ from codegrain.sources.tables import latest, read_table
 
 
 def _events(spark, sf_dir):
-    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "vulnir", "ingested_at"), "idx", "ingested_at")
+    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "vulnir", "ingested_at", spread_by="idx"), "idx", "ingested_at")
     return V.event_table(rows, "idx", "vulnir")
 
 
@@ -68,7 +68,7 @@ def render_ir(spark, sf_dir):
 
 def extract_ir(spark, sf_dir):
     """Event texts made from the code itself."""
-    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "func", "ingested_at"), "idx", "ingested_at")
+    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "func", "ingested_at", spread_by="idx"), "idx", "ingested_at")
     return ir.generated(rows, "idx", "func")
 
 

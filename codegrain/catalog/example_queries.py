@@ -12,7 +12,7 @@ from codegrain.sources.tables import latest, read_table
 
 
 def _train(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "primevul_train", "idx", "func", "vulnir", "target", "project", "ingested_at")
+    rows = read_table(spark, sf_dir, "primevul_train", "idx", "func", "vulnir", "target", "project", "ingested_at", spread_by="idx")
     return latest(rows, "idx", "ingested_at").withColumn("label", F.coalesce(X.number_of_dirty(F.col("target")), F.lit(0)))
 
 

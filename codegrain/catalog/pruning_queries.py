@@ -12,7 +12,7 @@ COLUMNS = ("idx", "func", "vulnir", "ingested_at")
 
 
 def _train(spark, sf_dir):
-    return read_table(spark, sf_dir, "primevul_train", *COLUMNS)
+    return read_table(spark, sf_dir, "primevul_train", *COLUMNS, spread_by="idx")
 
 
 def piece_counts(spark, sf_dir):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codegrain.functions.once import let
+
 EMPTY, FAILED, CUT = "VULNIR_EMPTY", "VULNIR_PARSE_FAILED", "[Line ?] ...: VULNIR_TRUNCATED"  # fixed values
 HIDDEN_TAGS = ("DF", "CTRL", "GUARD")
 
@@ -65,11 +67,11 @@ def callee(text: Column) -> Column:
     return F.regexp_extract(text, r"^([A-Za-z_][A-Za-z0-9_]*)\(", 1)
 
 
-def compressed(events: DataFrame, key: str, least: int = 3) -> DataFrame:
+def compressed(events: DataFrame, key: str, least: int = 3, sets: tuple[str, ...] = ("defs", "uses")) -> DataFrame:
     """Runs of ``least`` or more consecutive calls of one callee become one event each.
 
     Gaps and islands within a record. The run keeps the line, tag and position of its first call; names
-    are united. Shorter runs stay as they are.
+    in the columns ``sets`` are united. Shorter runs stay as they are.
     """
     w = W.partitionBy(key).orderBy("pos")
     name = F.when(F.col("kind") == "CALL", callee(F.col("text"))).otherwise(F.lit(None))
@@ -79,10 +81,10 @@ def compressed(events: DataFrame, key: str, least: int = 3) -> DataFrame:
     sized = island.withColumn("_n", F.count("*").over(W.partitionBy(key, "_island")))
     runs = sized.where((F.col("_n") >= least) & F.col("_callee").isNotNull()).groupBy(key, "_island").agg(
         F.min("pos").alias("pos"), F.min_by("line", "pos").alias("line"), F.min_by("tag", "pos").alias("tag"), F.first("_callee").alias("_callee"), F.first("_n").alias("calls"),
-        union("defs").alias("defs"), union("uses").alias("uses"),
+        *[union(c).alias(c) for c in sets],
     )
     text = F.concat(F.col("_callee"), F.lit("(...) ×"), F.col("calls").cast("string"), F.when(F.size("defs") > 0, F.concat(F.lit(" -> "), F.array_join("defs", ", "))).otherwise(""))
-    columns = [key, "pos", "line", "kind", "tag", "text", "defs", "uses", "calls"]
+    columns = [key, "pos", "line", "kind", "tag", "text", *sets, "calls"]
     single = sized.where((F.col("_n") < least) | F.col("_callee").isNull()).withColumn("calls", F.lit(1).cast("long"))
     return single.select(*columns).unionByName(runs.withColumn("kind", F.lit("CALL")).withColumn("text", text).select(*columns))
 
@@ -105,6 +107,34 @@ def closure(seeds: DataFrame, edges: DataFrame, key: str, depth: int = 2) -> Dat
     return reached
 
 
+def definitions(events: DataFrame, key: str) -> DataFrame:
+    """``(key, known)``: per record a map from each name to the line and the uses of its last definition."""
+    last = events.select(key, "pos", "line", "uses", F.explode("defs").alias("name")).groupBy(key, "name").agg(F.max_by(F.struct("line", "uses"), "pos").alias("r"))
+    return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "r"))).alias("known"))
+
+
+def key_names(keys: Column, defs: Column, uses: Column, known: Column, most: Column, depth: int = 2) -> Column:
+    """The names that an event shows: the best of its keys, what these depend on, and its definitions.
+
+    Keys score 100, definitions 60, uses 20, less a point for each ten characters; ties go to the
+    shorter, then the smaller name. Under three, they are filled up from the uses. The first three
+    carry the line of their last definition.
+    """
+    none = F.array().cast("array<string>")
+    leads = lambda names: F.flatten(F.transform(names, lambda n: F.coalesce(F.try_element_at(known, n)["uses"], none)))
+
+    def reach(x: Column, step: int) -> Column:
+        return x if not step else let(x, lambda y: F.concat(y, reach(F.array_distinct(leads(y)), step - 1)))
+
+    near = F.array_except(F.array_distinct(F.concat(reach(F.array_distinct(keys), depth), defs)), F.array(F.lit("NULL"), F.lit("nullptr"), F.lit("")))
+    points = lambda n: (F.when(F.array_contains(keys, n), 100).otherwise(0) + F.when(F.array_contains(defs, n), 60).otherwise(0) + F.when(F.array_contains(uses, n), 20).otherwise(0)
+                        - F.floor(F.least(F.length(n), F.lit(40)) / 10))
+    best = lambda names: F.transform(F.slice(F.array_sort(F.transform(names, lambda n: F.struct((-points(n)).alias("p"), F.length(n).alias("l"), n.alias("n")))), F.lit(1), most), lambda x: x["n"])
+    filled = lambda names: let(best(names), lambda b: F.concat(b, F.slice(F.array_sort(F.array_except(uses, names)), F.lit(1), F.greatest(F.lit(0), 3 - F.size(b)))))
+    shown = lambda n, i: F.when((i < 3) & F.try_element_at(known, n).isNotNull(), F.concat(n, F.lit("@"), F.try_element_at(known, n)["line"].cast("string"))).otherwise(n)
+    return F.transform(let(near, filled), shown)
+
+
 def top_names(names: DataFrame, key: str, score: Column, k: Column | int) -> DataFrame:
     """The best ``k`` names of each event, ranked by score, then length, then the name itself."""
     w = W.partitionBy(key, "pos").orderBy(F.desc("_score"), F.length("name"), "name")

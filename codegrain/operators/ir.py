@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -574,26 +573,10 @@ def generated(df: DataFrame, key: str, code: str, most_events: int = 220) -> Dat
     """
     read = materialize(df.select(key, read_events(F.col(code)).alias("r")).select(key, "r.status", "r.events"), "ir-events")
     raw = read.select(key, F.explode("events").alias("e")).select(key, "e.*")
-    edges, lines = V.dependencies(raw, key)
-    events = V.compressed(raw.drop("keys"), key)
-    keyed = raw.select(key, "pos", "keys").join(events.select(key, F.col("pos").alias("start"), (F.col("pos") + F.col("calls")).alias("stop")), key).where("pos >= start and pos < stop")
-    keys = keyed.select(key, F.col("start").alias("pos"), F.explode("keys").alias("name")).distinct()
-    near = V.closure(keys, edges, key).unionByName(events.select(key, "pos", F.explode("defs").alias("name"))).distinct()
-    seeded = keys.withColumn("seed", F.lit(True))
-    facts = events.select(key, "pos", "kind", "tag", "defs", "uses")
-    n_seeds = keys.groupBy(key, "pos").agg(F.count("*").alias("seeds"))
-    first = near.join(facts, [key, "pos"]).join(seeded, [key, "pos", "name"], "left").withColumn("filler", F.lit(0))
-    fill = facts.withColumn("name", F.explode("uses")).join(near, [key, "pos", "name"], "left_anti").withColumn("seed", F.lit(None).cast("boolean")).withColumn("filler", F.lit(1))
-    all_ = first.unionByName(fill.select(first.columns)).join(n_seeds, [key, "pos"], "left").where(~F.col("name").isin("NULL", "nullptr"))
-    has = lambda c: F.array_contains(c, F.col("name"))
-    score = F.when(F.col("filler") == 1, 0).otherwise(F.when(F.col("seed"), 100).otherwise(0) + F.when(has("defs"), 60).otherwise(0) + F.when(has("uses"), 20).otherwise(0) - F.floor(F.least(F.length("name"), F.lit(40)) / 10))
-    w = W.partitionBy(key, "pos").orderBy("filler", F.desc(score), F.when(F.col("filler") == 0, F.length("name")).otherwise(0), "name")
-    most = F.when((F.col("tag") == "SINK") | (F.col("kind").isin("INDEX", "BRANCH")) | F.col("tag").isin(*V.CATEGORIES), 5).when(F.coalesce("seeds", F.lit(0)) >= 2, 4).otherwise(3)
-    ranked = all_.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= most) & ((F.col("filler") == 0) | (F.col("rank") <= 3)))
-    shown = ranked.join(lines.withColumnRenamed("line", "defined"), [key, "name"], "left")
-    name = F.when((F.col("rank") <= 3) & F.col("defined").isNotNull(), F.concat("name", F.lit("@"), F.col("defined").cast("string"))).otherwise(F.col("name"))
-    uses = shown.groupBy(key, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", name.alias("name")))), lambda x: x["name"]).alias("shown"))
-    final = events.join(uses, [key, "pos"], "left").withColumn("uses", F.coalesce("shown", F.array().cast("array<string>")))
+    events = V.compressed(raw, key, sets=("defs", "uses", "keys")).join(V.definitions(raw, key), key, "left")
+    most = F.when((F.col("tag") == "SINK") | F.col("kind").isin("INDEX", "BRANCH") | F.col("tag").isin(*V.CATEGORIES), 5).when(F.size("keys") >= 2, 4).otherwise(3)
+    known = F.coalesce("known", F.create_map().cast("map<string,struct<line:int,uses:array<string>>>"))
+    final = events.withColumn("known", known).withColumn("uses", V.key_names(F.col("keys"), F.col("defs"), F.col("uses"), F.col("known"), most))
     text = V.rendered(final, key, most_events)
     other = F.when(F.col("status") == "failed", V.FAILED).otherwise(V.EMPTY)
     return read.select(key, "status").join(text, key, "left").select(key, F.coalesce("ir", other).alias("ir"))

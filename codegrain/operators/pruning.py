@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codegrain.functions import pieces as P
+from codegrain.functions.once import let
 
 ANCHOR = r"\bline\b\s*[:=]?\s*(\d{1,6})\b"
 CODE_GAP, TEXT_GAP, IR_GAP = "// ...", "\n// ...\n", "\n# ...\n"
@@ -32,11 +33,6 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: within a lambda a plain column would be computed for every element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def interest(n_lines: Column, critical: Column, window: int, head: int, tail: int) -> Column:
     """0-based indices of the first and last lines and of those around an anchor that exists."""
     none = F.array().cast("array<int>")
@@ -60,33 +56,41 @@ def reconstruct(all_lines: Column, chosen: Column) -> Column:
     return let(F.struct(all_lines.alias("l"), chosen.alias("c")), render)
 
 
-def _cut(parts: Column, limit: int, share: float, middle: Column | None, gap: str) -> Column:
-    budget = max(0, limit - SLACK)
-    if budget <= 0:
-        return F.lit("")
-    ends = max(1, int(budget * share))
-    mid = max(1, budget - 2 * ends)
-    n = F.size(parts)
-    start = F.greatest(F.lit(0), F.floor((n - mid) / 2)).cast("int")
-    middle = F.slice(parts, start + 1, F.lit(mid)) if middle is None else F.slice(middle, F.lit(1), F.lit(mid))
-    return F.concat(P.text_of(F.slice(parts, 1, ends)), F.lit(gap), P.text_of(middle), F.lit(gap), P.text_of(F.slice(parts, F.greatest(n - ends + 1, F.lit(1)), F.lit(ends))))
+def _cut(parts: Column, limit: Column, share: float, middle: Column | None, gap: str) -> Column:
+    """Head, middle and tail of an array of pieces within a budget; the middle from another array if one is given."""
+    budget = F.greatest(F.lit(0), limit - SLACK)
+    ends = F.greatest(F.lit(1), F.floor(budget * share).cast("int"))
+    mid = F.greatest(F.lit(1), budget - 2 * ends)
+
+    def render(x: Column) -> Column:
+        n = F.size(x["p"])
+        if middle is None:
+            between = F.slice(x["p"], F.greatest(F.lit(0), F.floor((n - mid) / 2)).cast("int") + 1, mid)
+        else:
+            between = F.slice(x["m"], F.lit(1), mid)
+        return F.concat(P.text_of(F.slice(x["p"], F.lit(1), ends)), F.lit(gap), P.text_of(between), F.lit(gap), P.text_of(F.slice(x["p"], F.greatest(n - ends + 1, F.lit(1)), ends)))
+
+    both = F.struct(parts.alias("p")) if middle is None else F.struct(parts.alias("p"), middle.alias("m"))
+    return F.when(budget <= 0, "").otherwise(let(both, render))
 
 
 def prune_middle(text: Column, limit: int) -> Column:
     """Head, middle and tail (20, 60 and 20 per cent) of the budget if the text is over it."""
     if limit <= 0:
         return F.lit("")
-    parts = P.pieces(text)
-    return F.when(text.isNull() | (text == ""), "").when(F.size(parts) <= limit, text).otherwise(_cut(parts, limit, 0.2, None, TEXT_GAP))
+    # A text of at most as many characters as the limit has no more pieces.
+    cut = let(P.pieces(text), lambda parts: F.when(F.size(parts) > limit, _cut(parts, F.lit(limit), 0.2, None, TEXT_GAP)))
+    return F.when(text.isNull() | (text == ""), "").when(F.length(text) <= limit, text).otherwise(F.coalesce(cut, text))
 
 
 def prune_ir(ir: Column, limit: int) -> Column:
     """Head and tail (30 per cent each) and the lines with key words between them."""
     if limit <= 0:
         return F.lit("")
-    parts = P.pieces(ir)
     telling = F.filter(lines(ir), lambda s: F.exists(F.array(*map(F.lit, KEY_WORDS)), lambda k: F.contains(F.lower(s), k)))
-    return F.when(ir.isNull() | (ir == ""), "").when(F.size(parts) <= limit, ir).otherwise(_cut(parts, limit, 0.3, P.pieces(F.array_join(telling, "\n")), IR_GAP))
+    middle = P.pieces(F.array_join(telling, "\n"))
+    cut = let(P.pieces(ir), lambda parts: F.when(F.size(parts) > limit, _cut(parts, F.lit(limit), 0.3, middle, IR_GAP)))
+    return F.when(ir.isNull() | (ir == ""), "").when(F.length(ir) <= limit, ir).otherwise(F.coalesce(cut, ir))
 
 
 PIECE = re.compile(P.PATTERN)
@@ -143,22 +147,10 @@ def prune(df: DataFrame, code: str, ir: str, limit: Column | int, into: str, win
     guided = (F.col("_n") > F.col("_limit")) & (F.col("_limit") > 0) & (F.size("_anchors") > 0)
     out = out.withColumn("_guided", fitted(F.when(guided, F.col(code)), F.when(guided, F.col("_anchors")), F.col("_limit")))
     plain = F.when(F.col(code).isNull() | (F.col(code) == "") | (F.col("_limit") <= 0), "").when(F.col("_n") <= F.col("_limit"), F.col(code))
-    parts = P.pieces(F.col(code))
-    rest = _cut_by(parts, F.col("_limit"))
+    rest = _cut(P.pieces(F.col(code)), F.col("_limit"), 0.2, None, TEXT_GAP)
     return out.withColumn(into, plain.when(F.length(F.trim("_guided")) > 0, F.col("_guided")).otherwise(rest)).drop(*names)
 
 
-def _cut_by(parts: Column, limit: Column) -> Column:
-    """``_cut`` for a limit that differs by row."""
-    budget = F.greatest(F.lit(0), limit - SLACK)
-    ends = F.greatest(F.lit(1), F.floor(budget * 0.2).cast("int"))
-    mid = F.greatest(F.lit(1), budget - 2 * ends)
-    n = F.size(parts)
-    start = F.greatest(F.lit(0), F.floor((n - mid) / 2)).cast("int")
-    cut = F.concat(P.text_of(F.slice(parts, F.lit(1), ends)), F.lit(TEXT_GAP), P.text_of(F.slice(parts, start + 1, mid)), F.lit(TEXT_GAP), P.text_of(F.slice(parts, F.greatest(n - ends + 1, F.lit(1)), ends)))
-    return F.when(budget <= 0, "").otherwise(cut)
-
-
 def marked_lines(df: DataFrame, key: str, text: str, ir: str, window: int) -> DataFrame:
     """``(key, line, near)`` per line: whether an anchor is within ``window`` lines, by a frame over the lines."""
     rows = df.select(key, F.posexplode(lines(F.col(text))).alias("at", "_"), anchors(F.col(ir)).alias("a")).withColumn("hit", F.array_contains("a", F.col("at") + 1))

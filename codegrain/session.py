@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so their Python needs no path of its own."""
+    context = spark.sparkContext
+    if getattr(context, "_codegrain_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = shared_folder(spark)
+    target = Path(folder.removeprefix("file://") if folder.startswith("file:///") else tempfile.mkdtemp(prefix="spark-codegrain-")) / f"codegrain-{uuid.uuid4().hex}.zip"
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._codegrain_shipped = True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back.
 

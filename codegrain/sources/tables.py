@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_by: str | None = None) -> DataFrame:
     """One table of a test data folder; columns, if given, are selected (and pruned in the scan)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df, spread_by) if spread_by else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For costly work on rows: the same rows over all cores, where the files give fewer partitions than that.
+
+    A small file is often one partition. Large tables have partitions enough and are left as they
+    are, without a shuffle; where one is made it is by ``key``, so grouping by it needs no other.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:

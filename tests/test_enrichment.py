@@ -1,8 +1,12 @@
 import json
+import sys
+
+from pyspark import cloudpickle
 
 from codegrain.operators import enrichment as E
 from codegrain.streaming import resume
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
 SCHEMA = "pair_id long, cve string, cve_desc string, cwe array<string>, func_before string, func_after string"
 
 

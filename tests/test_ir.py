@@ -36,7 +36,7 @@ def test_statements():
     assert kinds("void f() { do { g(a); } while (a < 3); switch (x) { case 1: goto out; } out: i++; i = i + 1; }") == [
         ("BRANCH", "do ((a < 3))"), ("CALL", "g(...)"), ("SWITCH", "switch ((x))"), ("GOTO", "goto out")]
     assert kinds("void f() { for (int i = 0; i < n; i++) p->q.r[i] = h(i); }") == [
-        ("SET", "i = 0"), ("BRANCH", "for (i < n)"), ("CALL", "h(...) -> p->q->r[i]"), ("INDEX", "p->q.r[i]"), ("CALL", "h(...)")]
+        ("BRANCH", "for (i < n)"), ("SET", "i = 0"), ("CALL", "h(...) -> p->q->r[i]"), ("INDEX", "p->q.r[i]"), ("CALL", "h(...)")]
 
 
 def test_assigned_calls_come_twice_and_runs_are_compressed(spark):

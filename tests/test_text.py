@@ -74,7 +74,8 @@ def test_strict_read_and_overwrite(spark, tmp_path):
     df = jsonl.read_strict(spark, path, jsonl.SAMPLES)
     jsonl.overwrite(df.where("idx = 1"), path)
     assert jsonl.read_strict(spark, path, jsonl.SAMPLES).count() == 1
-    jsonl.append(df.select("idx", F.lit("c").alias("func")), path)
+    jsonl.append(spark.createDataFrame([(3, "c")], "idx long, func string"), path)
+    assert jsonl.read_strict(spark, path, jsonl.SAMPLES).count() == 2
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "x.json").write_text("{broken")
     with pytest.raises(Exception):
