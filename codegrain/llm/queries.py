@@ -21,17 +21,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = read_table(spark, sf_dir, "primevul_train")
+    train = read_table(spark, sf_dir, "primevul_train", spread_by="idx")
     return p1.formatting_duplicates(train, "idx", "func", "ingested_at").select(F.col("keep").alias("keep_idx"), F.col("copy").alias("copy_idx"))
 
 
 def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = read_table(spark, sf_dir, "primevul_train")
+    train = read_table(spark, sf_dir, "primevul_train", spread_by="idx")
     return p1.collapsed(train, "idx", "func", "ingested_at").select(F.col("keep").alias("keep_idx"), "copies")
 
 
 def _p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2.verdicts(read_table(spark, sf_dir, "primevul_train"), "idx", "func", "file_path", "ingested_at", "vulnir", "project")
+    return p2.verdicts(read_table(spark, sf_dir, "primevul_train", spread_by="idx"), "idx", "func", "file_path", "ingested_at", "vulnir", "project")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,14 +47,14 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    language = p3.fit_language(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", home="en")
-    return p3.defects(read_table(spark, sf_dir, "train_llama_paired"), language, "pair_id", "cve_desc", ["cve_desc", "func_before", "func_after"],
+    language = p3.fit_language(read_table(spark, sf_dir, "documents", spread_by="doc_id"), "doc_id", "text", "lang", home="en")
+    return p3.defects(read_table(spark, sf_dir, "train_llama_paired", spread_by="pair_id"), language, "pair_id", "cve_desc", ["cve_desc", "func_before", "func_after"],
                       ["root_cause", "safety_justification"], "enriched_at")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = p4.pieces(read_table(spark, sf_dir, "primevul_train"), "idx", "func", "ingested_at").withColumnRenamed("idx", "rec_id")
-    pairs = p4.pieces(read_table(spark, sf_dir, "train_aug_paired"), "pair_id", "func_before", "ingested_at").withColumnRenamed("pair_id", "rec_id")
+    train = p4.pieces(read_table(spark, sf_dir, "primevul_train", spread_by="idx"), "idx", "func", "ingested_at").withColumnRenamed("idx", "rec_id")
+    pairs = p4.pieces(read_table(spark, sf_dir, "train_aug_paired", spread_by="pair_id"), "pair_id", "func_before", "ingested_at").withColumnRenamed("pair_id", "rec_id")
     named = [df.select(F.lit(name).alias("table_name"), "*") for name, df in (("primevul_train", train), ("train_aug_paired", pairs))]
     return named[0].unionByName(named[1])
 
@@ -64,18 +64,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid = read_table(spark, sf_dir, "primevul_train"), read_table(spark, sf_dir, "primevul_valid")
+    train, valid = read_table(spark, sf_dir, "primevul_train", spread_by="idx"), read_table(spark, sf_dir, "primevul_valid", spread_by="idx")
     pairs = p5.overlapping_pairs(train, valid, "idx", "func", "ingested_at")
     return pairs.select(F.col("left_key").alias("train_idx"), F.col("right_key").alias("valid_idx"))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid = read_table(spark, sf_dir, "primevul_train"), read_table(spark, sf_dir, "primevul_valid")
+    train, valid = read_table(spark, sf_dir, "primevul_train", spread_by="idx"), read_table(spark, sf_dir, "primevul_valid", spread_by="idx")
     return p5.overlap_report(train, valid, "idx", "func", "ingested_at", "project", ("train", "valid")).withColumnRenamed("source", "project")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6.fill_containers(read_table(spark, sf_dir, "documents"), "doc_id", "text", "crawled_at")
+    return p6.fill_containers(read_table(spark, sf_dir, "documents", spread_by="doc_id"), "doc_id", "text", "crawled_at")
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,22 +83,22 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, targets = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")
+    documents, targets = read_table(spark, sf_dir, "documents", spread_by="doc_id"), read_table(spark, sf_dir, "mix_targets")
     draw, _, _ = p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at")
     return draw.withColumnRenamed("k", "doc_id").withColumnRenamed("n", "n_tokens")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, targets = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")
+    documents, targets = read_table(spark, sf_dir, "documents", spread_by="doc_id"), read_table(spark, sf_dir, "mix_targets")
     return p7.shares(*p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at"))
 
 
 def p8_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8.unified(read_table(spark, sf_dir, "documents", "doc_id", "text", "crawled_at"), "text").select("doc_id", "unified")
+    return p8.unified(read_table(spark, sf_dir, "documents", "doc_id", "text", "crawled_at", spread_by="doc_id"), "text").select("doc_id", "unified")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = p8.lookalike_pairs(read_table(spark, sf_dir, "documents"), "doc_id", "text", "crawled_at")
+    pairs = p8.lookalike_pairs(read_table(spark, sf_dir, "documents", spread_by="doc_id"), "doc_id", "text", "crawled_at")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
