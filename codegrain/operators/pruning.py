@@ -29,8 +29,7 @@ def anchors(ir: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines as Python's splitlines cuts them: no empty one after a last line end."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def interest(n_lines: Column, critical: Column, window: int, head: int, tail: int) -> Column:
