@@ -82,6 +82,9 @@ class Reader:
                     self.errors += 1
         self.errors += len(stack)
         self.newlines = [m.start() for m in re.finditer("\n", code)]
+        self.bodies: dict[int, int] = {}  # the opening brace of each block within an expression, by the position of its node
+        self.body_names: dict[int, set[str]] = {}
+        self.gathered: set[str] | None = None  # the names of a block within an expression, while they are collected
 
     def line(self, i: int) -> int:
         from bisect import bisect_left
@@ -177,24 +180,33 @@ class Reader:
                 while self.texts[j] == "::" and self.kinds[j + 1] == "id":
                     j += 2
             x = Node("name" if j == i + 1 else "qualified", i, j)
+        elif t == "(" and i in self.mate and self.texts[i + 1] == "{" and self.mate.get(i + 1) == self.mate[i] - 1:  # a statement expression
+            self.bodies[i] = i + 1
+            x, j = Node("closure", i, self.mate[i] + 1), self.mate[i] + 1
         elif t == "(" and i in self.mate:
             inner, j = self.comma(i + 1)
             if self.texts[j] != ")":
                 raise Unparsed
             x, j = Node("paren", i, j + 1, (inner,)), j + 1
         elif t == "{" and i in self.mate:
-            x, j = Node("list", i, self.mate[i] + 1), self.mate[i] + 1
+            x, j = self.initializers(i)
         elif t == "[" and i in self.mate:  # a closure
             j = self.mate[i] + 1
+            parts = self.captures(i + 1, self.mate[i])
             if self.texts[j] == "(" and j in self.mate:
+                parts += self.parameters(j + 1, self.mate[j])
                 j = self.mate[j] + 1
             while self.texts[j] not in ("{", ";", "") and self.texts[j] != ")":
                 j += 1
             if self.texts[j] != "{" or j not in self.mate:
                 raise Unparsed
-            x, j = Node("closure", i, self.mate[j] + 1), self.mate[j] + 1
+            self.bodies[i] = j
+            x, j = Node("closure", i, self.mate[j] + 1, tuple(parts)), self.mate[j] + 1
         else:
             raise Unparsed
+        if x.kind in ("name", "qualified") and self.texts[j] == "{" and j in self.mate:  # a value of a type
+            inner, j = self.initializers(j)
+            x = Node("list", i, j, inner.parts)
         while True:
             t = self.texts[j]
             if t == "(" and j in self.mate:
@@ -219,6 +231,122 @@ class Reader:
             else:
                 return x, j
 
+    def piece(self, i: int, end: int, stop: str = ",") -> int:
+        """The position of the next ``stop`` outside brackets, ``end`` if there is none."""
+        while i < end and self.texts[i] != stop:
+            i = self.mate.get(i, i) + 1
+        return min(i, end)
+
+    def initializers(self, i: int) -> tuple[Node, int]:
+        """The elements of a brace initializer and their designators; one that can't be read is left out."""
+        end, parts, k = self.mate[i], [], i + 1
+        while k < end:
+            stop = self.piece(k, end)
+            try:
+                parts += self.initializer(k, stop)
+            except (Unparsed, IndexError):
+                pass
+            k = stop + 1
+        return Node("list", i, end + 1, tuple(parts)), end + 1
+
+    def initializer(self, i: int, end: int) -> list[Node]:
+        parts, k = [], i
+        while True:
+            if self.texts[k] == "." and self.kinds[k + 1] == "id":
+                k += 2
+            elif self.texts[k] == "[" and k in self.mate and self.texts[self.mate[k] + 1] in ("=", ".", "["):
+                x, j = self.comma(k + 1)
+                parts.append(x)
+                if self.texts[j] == "...":
+                    x, j = self.comma(j + 1)
+                    parts.append(x)
+                if j != self.mate[k]:
+                    raise Unparsed
+                k = j + 1
+            else:
+                break
+        if k > i and self.texts[k] == "=":
+            k += 1
+        elif self.kinds[k] == "id" and self.texts[k + 1] == ":":
+            k += 2
+        x, k = self.assignment(k)
+        if k + (self.texts[k] == "...") != end:
+            raise Unparsed
+        return [*parts, x]
+
+    def captures(self, i: int, end: int) -> list[Node]:
+        """The captured names of a closure and the values of those that have one."""
+        parts = []
+        while i < end:
+            stop = self.piece(i, end)
+            while self.texts[i] in ("&", "*", "...", "=") and i < stop:
+                i += 1
+            if i < stop and self.kinds[i] == "id" and self.texts[i] != "this":
+                parts.append(Node("name", i, i + 1))
+                parts += self.value(i + 1, stop)
+            i = stop + 1
+        return parts
+
+    def parameters(self, i: int, end: int) -> list[Node]:
+        """The names of parameters and their default values."""
+        parts = []
+        while i < end:
+            stop = self.piece(i, end)
+            last = self.piece(i, stop, "=")
+            words = [k for k in range(i, last) if self.kinds[k] == "id" and self.texts[k] not in ("const", "volatile")]
+            if len(words) > 1 and self.texts[words[-1]] not in TYPE_WORDS and self.texts[words[-1] - 1] != "::" and self.texts[words[-1] + 1] not in (">", "::", "<"):
+                parts.append(Node("name", words[-1], words[-1] + 1))
+            parts += self.value(last, stop)
+            i = stop + 1
+        return parts
+
+    def value(self, i: int, end: int) -> list[Node]:
+        """What follows an equals sign or stands in braces at ``i``, if that is there and can be read."""
+        if i >= end or self.texts[i] not in ("=", "{"):
+            return []
+        try:
+            x, j = self.assignment(i + (self.texts[i] == "="))
+        except (Unparsed, IndexError):
+            return []
+        return [x] if j == end else []
+
+    def is_parameter(self, i: int, end: int) -> bool:
+        """Whether the tokens up to ``end`` declare a parameter: a type, or a type and a name."""
+        if self.is_type(i, end) or self.texts[i] in TYPE_WORDS and self.texts[i + 1] not in ("(", "{") or self.texts[i] == "...":
+            return True
+        if self.kinds[i] != "id" or self.texts[i] in ("sizeof", "new"):
+            return False
+        j = i + 1
+        while self.texts[j] == "::" and self.kinds[j + 1] == "id":
+            j += 2
+        if self.texts[j] == "<" and (k := self.angle(j)):
+            j = k
+        while self.texts[j] in ("*", "&", "const"):
+            j += 1
+        return j > i + 1 and j < end and self.kinds[j] == "id" and (j + 1 == end or self.texts[j + 1] == "[" and self.mate.get(j + 1) == end - 1) or j == end and self.texts[end - 1] in ("*", "&", ">")
+
+    def constructed(self, i: int) -> Node | None:
+        """The arguments in the bracket after a declared name, None if it holds parameters of a function."""
+        if self.texts[i] == "{":
+            return self.initializers(i)[0]
+        end, parts, k = self.mate[i], [], i + 1
+        if k == end:
+            return None
+        try:
+            while True:
+                if self.is_parameter(k, self.piece(k, end)):
+                    return None
+                x, k = self.assignment(k)
+                parts.append(x)
+                k += self.texts[k] == "..."
+                if k == end:
+                    return Node("arguments", i, end + 1, tuple(parts))
+                if self.texts[k] != ",":
+                    return None
+                k += 1
+        except (Unparsed, IndexError):
+            return None
+
     def angle(self, i: int) -> int:
         """The position after template arguments, 0 if these are none."""
         depth = 0
@@ -262,11 +390,30 @@ class Reader:
             else:
                 for p in x.parts:
                     walk(p)
+                if x.kind == "closure":
+                    out.update(self.names_within(x.start))
 
         if n is not None:
             walk(n)
         return out - NOT_NAMES - {""}
 
+    def names_within(self, start: int) -> set[str]:
+        """The names in the block of a closure, which is read for them without keeping its events."""
+        if start not in self.body_names:
+            kept = self.gathered, self.events, self.errors
+            self.gathered, self.events = set(), []
+            body = self.bodies[start]
+            self.block(body + 1, self.mate[body])
+            self.body_names[start] = self.gathered
+            self.gathered, self.events, self.errors = kept
+        return self.body_names[start]
+
+    def noted(self, read: tuple[Node, int]) -> tuple[Node, int]:
+        """An expression of a statement; its names are added where those of the block are collected."""
+        if self.gathered is not None:
+            self.gathered |= self.names(read[0])
+        return read
+
     def guarded(self, n: Node) -> set[str]:
         """Names that a condition checks or bounds by."""
         if n.kind == "unary" and n.text == "!":
@@ -316,7 +463,9 @@ class Reader:
         self.event(at, "SET", f"{lhs} = {shorten(self.of(value), self.most)}", {lhs}, uses, {lhs, *sorted(uses)[:2]}, "DF")
 
     def visit(self, n: Node) -> None:
-        """Calls and indexed accesses within an expression, outer ones first."""
+        """Calls, indexed accesses and the events of closures within an expression, outer ones first."""
+        if self.gathered is not None:
+            return
         if n.kind == "call":
             self.call(n)
         elif n.kind == "index" and self.names(n.parts[1]):
@@ -324,6 +473,9 @@ class Reader:
             self.event(n.start, "INDEX", shorten(self.of(n), 80), (), self.names(n), keys, "SINK")
         for p in n.parts:
             self.visit(p)
+        if n.kind == "closure":
+            body = self.bodies[n.start]
+            self.block(body + 1, self.mate[body])
 
     def expression_statement(self, n: Node) -> None:
         if n.kind == "assign":
@@ -348,7 +500,7 @@ class Reader:
         """A condition in parentheses at ``i``: its event, then what is in it."""
         if self.texts[i] != "(" or i not in self.mate:
             raise Unparsed
-        n, j = self.comma(i + 1)
+        n, j = self.noted(self.comma(i + 1))
         if j != self.mate[i]:
             raise Unparsed
         text = shorten(self.source(i, j + 1), self.most)
@@ -395,7 +547,7 @@ class Reader:
             if self.texts[i + 1] == ";":
                 self.event(i, "RET", "return", tag="CTRL")
                 return i + 2
-            n, j = self.comma(i + 1)
+            n, j = self.noted(self.comma(i + 1))
             if self.texts[j] != ";":
                 raise Unparsed
             uses = self.names(n)
@@ -404,7 +556,7 @@ class Reader:
         if t in ("break", "continue"):
             return i + 2
         if t == "case":
-            _, j = self.conditional(i + 1)
+            _, j = self.noted(self.conditional(i + 1))
             if self.texts[j] != ":":
                 raise Unparsed
             return j + 1
@@ -421,26 +573,36 @@ class Reader:
             raise Unparsed
         close = self.mate[i + 1]
         a = self.semicolon(i + 2, close)
-        if a < 0:  # over a range
+        b = self.semicolon(a + 1, close) if a >= 0 else -1
+        if b < 0:  # over a range
+            colon = self.piece(max(a + 1, i + 2), close, ":")
+            if a >= 0 and colon == close:
+                raise Unparsed
+            if a > i + 2:
+                self.simple(i + 2, ";")
+            if colon < close:
+                n, j = self.noted(self.comma(colon + 1))
+                if j != close:
+                    raise Unparsed
+                if self.gathered is not None and self.kinds[colon - 1] == "id":
+                    self.gathered.add(self.texts[colon - 1])
+                self.visit(n)
             return self.statement(close + 1, end)
-        b = self.semicolon(a + 1, close)
-        if b < 0:
-            raise Unparsed
         if b > a + 1:
-            n, _ = self.comma(a + 1)
+            n, _ = self.noted(self.comma(a + 1))
             self.event(i, "BRANCH", f"for ({shorten(self.of(n), self.most)})", (), self.names(n), self.guarded(n), "GUARD")
         if a > i + 2:
             at = len(self.events)
             if self.declares(i + 2):
                 self.simple(i + 2, ";")
             else:
-                n, _ = self.comma(i + 2)
+                n, _ = self.noted(self.comma(i + 2))
                 del self.events[at:]
                 self.visit(n)
         if b > a + 1:
             self.visit(n if a <= i + 2 else self.comma(a + 1)[0])
         if close > b + 1:
-            self.visit(self.comma(b + 1)[0])
+            self.visit(self.noted(self.comma(b + 1))[0])
         return self.statement(close + 1, end)
 
     def semicolon(self, i: int, end: int) -> int:
@@ -486,7 +648,7 @@ class Reader:
         """A declaration or an expression up to a semicolon."""
         j = self.declares(i)
         if not j:
-            n, k = self.comma(i)
+            n, k = self.noted(self.comma(i))
             if self.texts[k] != stop:
                 raise Unparsed
             self.expression_statement(n)
@@ -497,13 +659,18 @@ class Reader:
                 j += 1
             at, name = j, self.texts[j]
             j += 1
+            if self.gathered is not None:
+                self.gathered.add(name)
             while self.texts[j] == "[" and j in self.mate:
                 j = self.mate[j] + 1
             if self.texts[j] == "=":
-                n, j = self.assignment(j + 1)
+                n, j = self.noted(self.assignment(j + 1))
                 values.append((at, name, n))
             elif self.texts[j] in ("(", "{") and j in self.mate:
+                n = self.constructed(j)
                 j = self.mate[j] + 1
+                if n is not None:
+                    values.append((at, name, self.noted((n, j))[0]))
             if self.texts[j] == ",":
                 j += 1
                 continue

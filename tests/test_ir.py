@@ -39,6 +39,34 @@ def test_statements():
         ("BRANCH", "for (i < n)"), ("SET", "i = 0"), ("CALL", "h(...) -> p->q->r[i]"), ("INDEX", "p->q.r[i]"), ("CALL", "h(...)")]
 
 
+def test_closures():
+    events = ir.Reader("void f() { each(v, [&, k = g(a)](const T &x) { if (x.n > lim) h(x); int y = k; return y; }); z(); }").read()
+    assert [(e[2], e[4]) for e in events] == [
+        ("CALL", "each(...)"), ("CALL", "g(...)"), ("BRANCH", "if ((x.n > lim))"), ("CALL", "h(...)"), ("SET", "y = k"), ("RET", "return y"), ("CALL", "z(...)")]
+    assert events[0][6] == sorted(["v", "k", "g", "a", "x", "x.n", "lim", "h", "y"])
+    assert kinds("void f() { auto cb = [] { return [&] { g(); }; }; m = ({ int t = h(b); t; }); }")[1:] == [
+        ("RET", "return [&] { g(); }"), ("SET", "m = ({ int t = h(b); t; })"), ("CALL", "h(...) -> t"), ("CALL", "h(...)")]
+
+
+def test_loops_over_a_range():
+    assert kinds("void f() { for (auto &x : items(a[i])) g(x); }") == [("CALL", "items(...)"), ("INDEX", "a[i]"), ("CALL", "g(...)")]
+    assert kinds("void f() { for (int n = h(b); auto x : list) g(x); }") == [("CALL", "h(...) -> n"), ("CALL", "h(...)"), ("CALL", "g(...)")]
+
+
+def test_constructor_arguments():
+    events = ir.Reader("void f() { Lock l(mu(a), b); Pair p{c, g(d)}, q{}; use(l); }").read()
+    assert [(e[2], e[4], e[5], e[6]) for e in events] == [
+        ("SET", "l = (mu(a), b)", ["l"], ["a", "b", "mu"]), ("CALL", "mu(...)", [], ["a"]),
+        ("SET", "p = {c, g(d)}", ["p"], ["c", "d", "g"]), ("SET", "q = {}", ["q"], []), ("CALL", "g(...)", [], ["d"]), ("CALL", "use(...)", [], ["l"])]
+    assert kinds("void f() { int g(int a, char *), h(void), k(FILE *f), m(); T n(std::vector<int> v, const T &t); g(1); }") == [("CALL", "g(...)")]
+
+
+def test_brace_initializers():
+    events = ir.Reader("void f() { struct s v = { .a = g(x), [k] = y, .b.c = { z, 1 } }; w = T{u, h(t)}; }").read()
+    assert [(e[2], e[4].split("(")[0], e[6]) for e in events] == [
+        ("SET", "v = { .a = g", ["g", "k", "x", "y", "z"]), ("CALL", "g", ["x"]), ("SET", "w = T{u, h", ["h", "t", "u"]), ("CALL", "h", ["t"])]
+
+
 def test_assigned_calls_come_twice_and_runs_are_compressed(spark):
     df = spark.createDataFrame([(1, "void f() { g(a); g(b); x = g(c); h(d); h(e); }")], "k int, code string")
     text = ir.generated(df, "k", "code").first().ir
