@@ -18,8 +18,8 @@ def resumed(spark: SparkSession, source: str, schema: str, sink: str, checkpoint
     failure is not run again.
     """
     def batch(df: DataFrame, number: int) -> None:
-        folder = sink.removeprefix("file://")
-        exists = os.path.isdir(folder) and any(f.endswith(".json") for f in os.listdir(folder))
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        exists = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
         todo = E.remaining(df, spark.read.schema(schema).json(sink)) if exists else df
         work(todo).write.mode("append").json(sink)
 

@@ -66,3 +66,15 @@ def test_streaming_resume(spark, tmp_path):
     assert run([one, {"pair_id": 2, "cve": "c", "func_before": "b"}]) == 2
     assert run([{**one, "pair_id": 9}, {"pair_id": 3, "cve": "d", "func_before": "b"}]) == 3
     assert run([]) == 3
+
+
+def test_resumed_stream_into_another_file_system(spark, tmp_path):
+    source, held = tmp_path / "in", tmp_path / "held"
+    source.mkdir()
+    held.mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.resume.link./held", held.as_uri())
+    sink = "viewfs://resume/held/pairs"
+    for n, row in enumerate([{"pair_id": 1, "cve": "c", "func_before": "a"}, {"pair_id": 9, "cve": "c", "func_before": "a"}, {"pair_id": 2, "cve": "c", "func_before": "b"}]):
+        (source / f"{n}.json").write_text(json.dumps(row))
+        resume.resumed(spark, str(source), "pair_id long, cve string, func_before string", sink, str(tmp_path / "state"), lambda df: df).awaitTermination()
+    assert sorted(r.pair_id for r in spark.read.json(sink).collect()) == [1, 2]
