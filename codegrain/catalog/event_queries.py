@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from codegrain.operators import events as V
@@ -66,13 +68,23 @@ def render_ir(spark, sf_dir):
     return V.rendered(_events(spark, sf_dir), "idx", 12)
 
 
+def event_limit_production(spark, sf_dir):
+    """Records with more events than the limit of 220, and how many are cut."""
+    n = _events(spark, sf_dir).groupBy("idx").agg(F.count("*").alias("events"))
+    return n.where("events > 220").select("idx", "events", (F.col("events") - 220).alias("cut"))
+
+
+def render_ir_production(spark, sf_dir):
+    return V.rendered(_events(spark, sf_dir), "idx")
+
+
 def extract_ir(spark, sf_dir):
     """Event texts made from the code itself."""
     rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "func", "ingested_at", spread_by="idx"), "idx", "ingested_at")
     return ir.generated(rows, "idx", "func")
 
 
-QUERIES = {f.__name__: f for f in (event_parse, api_category_join, sink_roles, run_length_calls, last_definitions, closure2, topk_vars, event_limit, render_ir, extract_ir)}
+QUERIES = {f.__name__: f for f in (event_parse, api_category_join, sink_roles, run_length_calls, last_definitions, closure2, topk_vars, event_limit, render_ir, event_limit_production, render_ir_production, extract_ir)}
 
 EVENTS = r"""r AS (SELECT DISTINCT idx, vulnir FROM primevul_train WHERE vulnir IS NOT NULL AND vulnir NOT IN ('VULNIR_EMPTY', 'VULNIR_PARSE_FAILED')),
     s AS (SELECT idx, list_filter(string_split(replace(vulnir, ' | [Line ', chr(1) || '[Line '), chr(1)), lambda e: regexp_matches(e, '^\[Line \d+\] [A-Z_]+(\[[A-Z_]+\])?: ')) AS es FROM r),
@@ -115,3 +127,4 @@ ORACLES = {
             || CASE WHEN uses <> '' THEN ' U{{' || uses || '}}' ELSE '' END, ' | ' ORDER BY pos) || CASE WHEN max(n) > 12 THEN ' | [Line ?] ...: VULNIR_TRUNCATED' ELSE '' END AS ir
         FROM w WHERE k <= 12 GROUP BY idx""",
 }
+ORACLES |= {f"{name}_production": re.sub(r"\b12\b", "220", ORACLES[name]) for name in ("event_limit", "render_ir")}

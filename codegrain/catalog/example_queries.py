@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from codegrain.functions import pieces as P
@@ -37,23 +39,31 @@ def fused_output(spark, sf_dir):
 
 
 def build_examples(spark, sf_dir):
-    made = S.build(_train(spark, sf_dir), "idx", "func", "vulnir", "label", "joint_finetune", context=1500, window=6, head=10, tail=8)
+    made = S.build(_train(spark, sf_dir), "idx", "func", "vulnir", "label", "joint_finetune")
     return made.select("idx", "task", P.count_of(F.col("prompt")).alias("prompt_pieces"), P.count_of(F.col("completion")).alias("completion_pieces"))
 
 
-def pack_labels(spark, sf_dir):
+def pack_labels(spark, sf_dir, context=400):
     """The packed arrays of each record's answer: lengths, masked labels and whether the answer was cut."""
     rows = _train(spark, sf_dir).where("func is not null").withColumn("prompt", S.prompt("task_a", F.col("func"), F.lit(""))).withColumn("answer", S.label(F.col("label")))
-    packed = S.packed(rows, "prompt", "answer", 400)
+    packed = S.packed(rows, "prompt", "answer", context)
     return packed.select("idx", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x == S.MASK)).alias("masked"), "label_truncated")
 
 
-def pad_batch(spark, sf_dir):
+def pad_batch(spark, sf_dir, context=300):
     rows = _train(spark, sf_dir).where("vulnir is not null").withColumn("none", F.lit("")).select("idx", "none", "vulnir")
-    padded = S.padded(S.packed(rows, "none", "vulnir", 300).withColumn("batch", F.floor(F.col("idx") / 64)), "batch")
+    padded = S.padded(S.packed(rows, "none", "vulnir", context).withColumn("batch", F.floor(F.col("idx") / 64)), "batch")
     return padded.groupBy("batch").agg(F.max(F.size("input_ids")).alias("longest"), F.min(F.size("labels")).alias("shortest"), F.sum(F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)).alias("attended"))
 
 
+def pack_labels_production(spark, sf_dir):
+    return pack_labels(spark, sf_dir, 6144)
+
+
+def pad_batch_production(spark, sf_dir):
+    return pad_batch(spark, sf_dir, 6144)
+
+
 def reservoir_stats(spark, sf_dir):
     return S.length_statistics(S.length_sample(_train(spark, sf_dir), "idx", "func"))
 
@@ -94,7 +104,7 @@ def logprob_choice(spark, sf_dir):
     return rows.select("idx", M.preferred([score("func", 97), score("vulnir", 89)], [score("func", 83), score("project", 7)]).alias("choice"))
 
 
-QUERIES = {f.__name__: f for f in (label_mapping, task_mixture, prompts, fused_output, build_examples, pack_labels, pad_batch, reservoir_stats, autotune_window, binary_metrics, metrics_by_checkpoint, best_checkpoint, confusion, logprob_choice)}
+QUERIES = {f.__name__: f for f in (label_mapping, task_mixture, prompts, fused_output, build_examples, pack_labels, pad_batch, pack_labels_production, pad_batch_production, reservoir_stats, autotune_window, binary_metrics, metrics_by_checkpoint, best_checkpoint, confusion, logprob_choice)}
 
 NUMBER = r"""CAST(trunc(TRY_CAST(regexp_replace(target, '["\s]', '', 'g') AS DOUBLE)) AS INTEGER)"""
 TRAIN = f"t AS (SELECT DISTINCT idx, func, vulnir, project, {NUMBER} AS target, coalesce({NUMBER}, 0) AS label FROM primevul_train)"
@@ -138,3 +148,4 @@ ORACLES = {
     "pad_batch": f"""WITH {TRAIN}, p AS (SELECT CAST(floor(idx / 64.0) AS BIGINT) AS batch, least(300, len({PIECES.format("(vulnir || '<|im_end|>')")})) AS n FROM t WHERE vulnir IS NOT NULL)
         SELECT batch, CAST(max(n) AS INTEGER) AS longest, CAST(max(n) AS INTEGER) AS shortest, CAST(sum(n) AS BIGINT) AS attended FROM p GROUP BY batch""",
 }
+ORACLES |= {f"{name}_production": re.sub(r"\b(300|400)\b", "6144", ORACLES[name]) for name in ("pack_labels", "pad_batch")}

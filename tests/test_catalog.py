@@ -43,3 +43,17 @@ def test_query(spark, duck, name):
         assert rows(found) == rows(expected)
     else:
         assert len(found)
+
+
+def test_production_limits(spark, tmp_path):
+    text = lambda n: " | ".join(f"[Line {p}] RET: return" for p in range(n))
+    code = "int f(void) {\n" + "".join(f"    g{k}(a{k});\n" for k in range(400)) + "}\n"
+    rows = [(1, code, text(230), "0", "p", None), (2, code, text(40), "1", "p", None)]
+    spark.createDataFrame(rows, "idx long, func string, vulnir string, target string, project string, ingested_at timestamp").write.parquet(str(tmp_path / "primevul_train.parquet"))
+    run = lambda name: {r[0]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    built = run("build_examples")
+    assert len(built) == 2 and min(r.prompt_pieces for r in built.values()) > 2_400
+    assert {k: (r.events, r.cut) for k, r in run("event_limit_production").items()} == {1: (230, 10)}
+    assert {k: (r.ir.count("RET"), r.ir.endswith("VULNIR_TRUNCATED")) for k, r in run("render_ir_production").items()} == {1: (220, True), 2: (40, False)}
+    assert not any(r.label_truncated for r in run("pack_labels_production").values())
+    assert run("pad_batch_production")[0].longest > 1_000
