@@ -51,7 +51,7 @@ def cve_defaults(spark, sf_dir):
 
 
 def change_detect(spark, sf_dir):
-    """Texts that cleaning changes, per project."""
+    """Pairs whose two functions differ, and pairs without the second, per project."""
     pairs = read_table(spark, sf_dir, "train_aug_paired", "project", "func_before", "func_after")
     return pairs.groupBy("project").agg(F.count("*").alias("total"), F.count_if(~F.col("func_before").eqNullSafe(F.col("func_after"))).alias("updated"), F.count_if(F.col("func_after").isNull()).alias("failed"))
 

@@ -101,3 +101,10 @@ def test_closure_is_two_steps(spark):
 
 def test_categories(spark):
     assert [r[0] for r in spark.createDataFrame([("memcpy",), ("kfree",), ("mine",)], "c string").select(V.category(F.col("c"))).collect()] == ["MEMCPY", "FREE", ""]
+
+
+def test_changes(spark):
+    same = "int g(void) { return; }"
+    rows = [(1, "p", same, "[Line 1] RET: return"), (2, "p", same, "[Line 9] RET: return"), (3, "p", same, None), (None, "p", same, "[Line 1] RET: return"), (4, "q", "{" + "x = = 3;" * 200 + "}", V.FAILED), (5, "q", None, V.EMPTY)]
+    df = spark.createDataFrame(rows, "k long, project string, code string, old string")
+    assert {tuple(r) for r in ir.changes(df, "k", "code", "old", "project").collect()} == {("p", 4, 2, 0), ("q", 2, 0, 1)}
