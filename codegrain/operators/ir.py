@@ -732,8 +732,8 @@ def read_events(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"status": status, "events": out})
 
 
-def generated(df: DataFrame, key: str, code: str, most_events: int = 220) -> DataFrame:
-    """``(key, ir)``: the event text of each code; a sentinel for codes without events or that fail.
+def named_events(df: DataFrame, key: str, code: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, status)`` of each code and its events, runs of calls as one, with the names that each shows as uses.
 
     Names of an event: those within two steps of its key names, its definitions first, by score; three
     to five of them, filled up to three from its uses. The first three name the line that last defines them.
@@ -743,10 +743,15 @@ def generated(df: DataFrame, key: str, code: str, most_events: int = 220) -> Dat
     events = V.compressed(raw, key, sets=("defs", "uses", "keys")).join(V.definitions(raw, key), key, "left")
     most = F.when((F.col("tag") == "SINK") | F.col("kind").isin("INDEX", "BRANCH") | F.col("tag").isin(*V.CATEGORIES), 5).when(F.size("keys") >= 2, 4).otherwise(3)
     known = F.coalesce("known", F.create_map().cast("map<string,struct<line:int,uses:array<string>>>"))
-    final = events.withColumn("known", known).withColumn("uses", V.key_names(F.col("keys"), F.col("defs"), F.col("uses"), F.col("known"), most))
-    text = V.rendered(final, key, most_events)
+    return read.select(key, "status"), events.withColumn("known", known).withColumn("uses", V.key_names(F.col("keys"), F.col("defs"), F.col("uses"), F.col("known"), most))
+
+
+def generated(df: DataFrame, key: str, code: str, most_events: int = 220) -> DataFrame:
+    """``(key, ir)``: the event text of each code; a sentinel for codes without events or that fail."""
+    read, events = named_events(df, key, code)
+    text = V.rendered(events, key, most_events)
     other = F.when(F.col("status") == "failed", V.FAILED).otherwise(V.EMPTY)
-    return read.select(key, "status").join(text, key, "left").select(key, F.coalesce("ir", other).alias("ir"))
+    return read.join(text, key, "left").select(key, F.coalesce("ir", other).alias("ir"))
 
 
 def changes(df: DataFrame, key: str, code: str, old: str, *by: str) -> DataFrame:

@@ -57,3 +57,13 @@ def test_production_limits(spark, tmp_path):
     assert {k: (r.ir.count("RET"), r.ir.endswith("VULNIR_TRUNCATED")) for k, r in run("render_ir_production").items()} == {1: (220, True), 2: (40, False)}
     assert not any(r.label_truncated for r in run("pack_labels_production").values())
     assert run("pad_batch_production")[0].longest > 1_000
+
+
+def test_names_of_events(spark, tmp_path):
+    code = "void f() { int len = n + 4; memcpy(d + e, s, len); buf[len] = i1 + i2 + i3 + i4; }"
+    spark.createDataFrame([(1, code, None)], "idx long, func string, ingested_at timestamp").write.parquet(str(tmp_path / "primevul_train.parquet"))
+    found = {}
+    for r in sorted(QUERIES["key_vars"](spark, str(tmp_path)).collect()):
+        found.setdefault(r.pos, []).append(r.name)
+    # A category keeps up to five names, with n that len depends on; two seeds or more keep four.
+    assert found == {0: ["len", "n"], 1: ["s", "len", "d + e", "n"], 2: ["buf[len]", "i1", "i2", "i3"], 3: ["buf", "len", "n"]}
