@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,12 +30,21 @@ def local_session(app: str = "codegrain", cores: int | str = "*", **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share; the master is {master}")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-codegrain-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,13 +53,16 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_codegrain_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    folder = shared_folder(spark)
-    target = Path(folder.removeprefix("file://") if folder.startswith("file:///") else tempfile.mkdtemp(prefix="spark-codegrain-")) / f"codegrain-{uuid.uuid4().hex}.zip"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(target))
+    target = f"{shared_folder(spark)}/codegrain-{uuid.uuid4().hex}.zip"
+    files, path = file_system(spark, target)
+    out = files.create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(target)
     context._codegrain_shipped = True
 
 
