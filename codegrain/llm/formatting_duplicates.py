@@ -5,14 +5,15 @@ entries, the ``.name = value`` entries of each initializer and the ``@name: valu
 of the opening comment. Each field is hashed on its own and the hashes are added modulo
 2**128, a commutative multiset hash, so the order of the entries does not matter and nothing
 is sorted. Groups are formed on that fingerprint; every member of a group is then compared
-with the representative field by field, as hash-table multisets.
+with the representative: their texts without layout are equal, or a second cut that works from
+the innermost brackets outwards, and shares nothing with the first, finds equal multisets.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codegrain.session import materialize
+from codegrain.sources.tables import probably_among
 
 # What the statement of the problem says to ignore.
 IGNORED_MARKS = re.compile(r"/\*|\*/|//")
@@ -28,11 +30,15 @@ IGNORED_CHARACTERS = ",;:.?'\"(){}[]\\`"
 
 DROP = {ord(c): None for c in IGNORED_CHARACTERS}
 BLANK = re.compile(r"\s+")
-HAS_INITIALIZER = re.compile(r"[{,]\s*(?:/\*.*?\*/\s*|//[^\n]*\n\s*)*\.\s*[a-z_]\w*(?:\s*[.\[][^=;{}]*)?\s*=", re.S)
+GAP = r"(?:\s+|/\*.*?\*/|//[^\n]*|\#[^\n]*)*"
+DESIGNATOR = r"\.\s*[a-z_]\w*(?:\s*(?:\.\s*\w+|\[[^\]\n]*\]))*\s*=(?!=)"
+HAS_INITIALIZER = re.compile(rf"[{{,]{GAP}{DESIGNATOR}", re.S)
 OPENING_COMMENT = re.compile(r"\s*(?:/\*.*?\*/|(?://[^\n]*(?:\n\s*|$))+)", re.S)
 COMMENT_ENTRY = re.compile(r"@(\w+)\s*:")
 BLANK_COMMENT_LINE = re.compile(r"\n[ \t]*(?:\*|//)?[ \t]*\n")
-LEXEME = re.compile(r"""/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[{}()\[\],]|\.\s*[a-z_]\w*(?:\s*(?:\.\s*\w+|\[[^\]\n]*\]))*\s*=(?!=)""", re.S)
+COMMENT = r"/\*.*?\*/|//[^\n]*"
+LITERAL = r""" "(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*' """.strip()
+LEXEME = re.compile(rf"{COMMENT}|{LITERAL}|[{{}}()\[\],]|{DESIGNATOR}|(?m:^)[ \t]*\#[^\n]*", re.S)
 MASK = (1 << 128) - 1
 
 
@@ -44,15 +50,19 @@ def plain(text: str) -> str:
 def _initializers(text: str) -> tuple[list[str], list[tuple]]:
     """Cut the designated entries out of every initializer of ``text``.
 
-    Returns the pieces of text outside entries and, for each initializer in the order of
-    appearance, ``(its number, name, value fields)`` for each entry. Values are cut the same way.
+    An entry's name follows its brace or a comma of it, with nothing but blanks, comments and
+    directives between; a member that is assigned to (``t.x = 1``) is none. Returns the pieces of
+    text outside entries and ``(number of the initializer, name, value fields)`` for each entry.
+    Only braces that hold entries are numbered, as others may come and go with the layout.
+    Values are cut the same way.
     """
-    # Frames of open brackets: [bracket, start of the current element, name of the entry or None, entry value start]
+    # Frames of open brackets: [bracket, start of the entry's value, name of the entry or None, number]
     pieces: list[str] = []
     entries: list[tuple] = []
     stack: list[list] = []
     at, number = 0, 0
     inside = 0  # how many open frames are within an entry's value
+    may_begin = -1  # an entry may begin here, but for blanks
 
     def close(frame: list, end: int) -> None:
         nonlocal at, inside
@@ -67,23 +77,30 @@ def _initializers(text: str) -> tuple[list[str], list[tuple]]:
     for m in LEXEME.finditer(text):
         t = m.group()
         c = t[0]
+        follows = may_begin >= 0 and (may_begin == m.start() or text[may_begin:m.start()].isspace())
+        may_begin = -1
         if c in "{([":
-            stack.append([c, 0, None, number])
+            stack.append([c, 0, None, None])
             if c == "{":
-                number += 1
+                may_begin = m.end()
         elif c in "})]":
             if stack:
-                frame = stack.pop()
-                close(frame, m.start())
+                close(stack.pop(), m.start())
         elif c == ",":
             if stack:
                 close(stack[-1], m.start())
+                may_begin = m.end()
         elif c == ".":
-            if stack and stack[-1][0] == "{" and stack[-1][2] is None:
+            if follows and stack and stack[-1][0] == "{":
                 if not inside:
                     pieces.append(text[at:m.start()])
+                    if stack[-1][3] is None:
+                        stack[-1][3] = number
+                        number += 1
                 inside += 1
                 stack[-1][1], stack[-1][2] = m.end(), t
+        elif follows and c not in "\"'":  # a comment or a directive
+            may_begin = m.end()
     pieces.append(text[at:])
     return pieces, entries
 
@@ -139,6 +156,75 @@ def fingerprint(func: str, seed: int = 0) -> str:
     return f"{total & MASK:032x}"
 
 
+MASKED = re.compile(rf"({COMMENT})|({LITERAL})", re.S)
+INNERMOST = re.compile(r"\([^(){}\[\]]*\)|\[[^(){}\[\]]*\]|\{[^(){}\[\]]*\}")
+KEPT_COMMENT = re.compile("\x03(\\d+)\x03")
+REDUCED_ENTRY = re.compile("((?:\\s|\x03\\d+\x03|\\#[^\\n]*)*)(\\.\\s*[a-z_][^=]*=)(?!=)(.*)", re.S)
+
+
+def cut_again(func: str, name: Callable[[frozenset], str]) -> tuple:
+    """The fields of a function by another way, to check the first: innermost brackets are reduced first.
+
+    A bracket without entries loses its commas; a brace with entries becomes ``name`` of the multiset
+    of its entries, and stands in the value of the entry around it.
+    """
+    text = func.lower()
+    tags: frozenset = frozenset()
+    opening = OPENING_COMMENT.match(text) if "@" in text else None
+    if opening and COMMENT_ENTRY.search(opening.group()):
+        first, *found = COMMENT_ENTRY.split(opening.group())
+        pairs: Counter = Counter()
+        for key, value in zip(found[::2], found[1::2]):
+            told, *after = BLANK_COMMENT_LINE.split(value, 1)
+            told = plain(told)
+            pairs[key, told.rstrip("*")] += 1
+            first += (value[value.index(after[0], len(value) - len(after[0])):] if after else "") + told[len(told.rstrip("*")):]
+        tags = frozenset(pairs.items())
+        first, text = plain(first), text[opening.end():]
+    else:
+        first = ""
+    if not HAS_INITIALIZER.search(text):
+        return first, tags, plain(text)
+    comments: list[str] = []
+
+    def mask(m: re.Match) -> str:
+        if m.group(1) is None:
+            return plain(m.group())
+        comments.append(plain(m.group()))
+        return f"\x03{len(comments) - 1}\x03"
+
+    def bare(part: str) -> str:
+        return plain(KEPT_COMMENT.sub(lambda m: comments[int(m.group(1))], part))
+
+    def reduced(m: re.Match) -> str:
+        bracket, parts = m.group()[0], m.group()[1:-1].split(",")
+        found = [REDUCED_ENTRY.fullmatch(p) for p in parts] if bracket == "{" else [None]
+        if not any(found):
+            return f" {' '.join(parts)} "
+        entries = Counter((bare(e.group(2)), bare(e.group(3))) for e in found if e)
+        rest = [f"{e.group(1)}\x01" if e else p for e, p in zip(found, parts)]
+        return f" {' '.join(rest)}\x04{name(frozenset(entries.items()))}\x04 "
+
+    text, some = MASKED.sub(mask, text), 1
+    while some:
+        text, some = INNERMOST.subn(reduced, text)
+    return first, tags, bare(text)
+
+
+def same_fields(a: str, b: str) -> bool:
+    """Whether two functions are the same, decided on the texts and not on hashes."""
+    names: dict[frozenset, str] = {}
+    number = lambda x: names.setdefault(x, str(len(names)))
+    return plain(a.lower()) == plain(b.lower()) or cut_again(a, number) == cut_again(b, number)
+
+
+def second_fingerprint(func: str) -> str:
+    """128 bits of the second cut; multisets are hashed by sums as well."""
+    name = lambda entries: f"{sum(n * _hash(7919, *e) for e, n in entries) & MASK:x}"
+    first, tags, body = cut_again(func, name)
+    return f"{_hash(7920, first, name(tags), body):032x}"
+
+
 @F.pandas_udf(T.StringType())
 def fingerprints(func: pd.Series) -> pd.Series:
     return func.map(lambda s: fingerprint(s) if s and not s.isspace() else None)
@@ -148,8 +234,21 @@ def fingerprints(func: pd.Series) -> pd.Series:
 def compared(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Whether the fields of both texts are equal; if not, an independent fingerprint of the first."""
     for a, b in pairs:
-        same = [record_fields(x) == record_fields(y) for x, y in zip(a, b)]
-        yield pd.DataFrame({"same": same, "other": [None if s else fingerprint(x, 7919) for s, x in zip(same, a)]})
+        same = [same_fields(x, y) for x, y in zip(a, b)]
+        yield pd.DataFrame({"same": same, "other": [None if s else second_fingerprint(x) for s, x in zip(same, a)]})
+
+
+def with_groups(prints: DataFrame, rows_per_salt: int) -> DataFrame:
+    """``(k, fp, keep, salts)`` of every row of ``prints(k, fp)`` whose fingerprint another row has.
+
+    Groups of over a thousandth of all rows, at most a thousand, are joined by broadcast, so no
+    task gets the whole of a hot one; the others by shuffle.
+    """
+    groups = materialize(prints.groupBy("fp").agg(F.min("k").alias("keep"), F.count("*").alias("n")).where("n > 1"), "p1-groups").withColumn("salts", F.ceil(F.col("n") / rows_per_salt))
+    hot = F.col("n") > max(rows_per_salt, prints.count() // 1000)
+    known = prints.join(F.broadcast(groups.where(hot).drop("n")), "fp", "left")
+    few = known.where("keep is null").select("fp", "k").join(groups.where(~hot).drop("n"), "fp")
+    return known.where("keep is not null").select("k", "fp", "keep", "salts").unionByName(few.select("k", "fp", "keep", "salts"))
 
 
 def formatting_duplicates(df: DataFrame, key: str, text: str, order: str, rows_per_salt: int = 50_000) -> DataFrame:
@@ -158,19 +257,18 @@ def formatting_duplicates(df: DataFrame, key: str, text: str, order: str, rows_p
     Re-deliveries (rows of equal key) are reduced to the last by ``order`` first. Null and blank
     texts belong to no group, rows with a null key are left out; an empty table gives no rows.
     Other columns of ``df`` are ignored, whatever their names. Only fingerprints are shuffled to
-    find the groups; texts move once, and only those of groups of two or more go on to the
-    comparison. There, a group of n rows is spread over ceil(n / rows_per_salt) salts.
+    find the groups; only texts of groups of two or more move, to the comparison. There, a group
+    of n rows is spread over ceil(n / rows_per_salt) salts.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(order).alias("o")).where("k is not null")
     prints = materialize(
         rows.select("k", "o", fingerprints("t").alias("fp")).groupBy("k").agg(F.max_by("fp", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("fp")).where("fp is not null"),
         "p1-prints",
     )
-    groups = prints.groupBy("fp").agg(F.min("k").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    members = prints.join(groups, "fp").withColumn("salts", F.ceil(F.col("n") / rows_per_salt))
-    texts = rows.groupBy("k").agg(F.max_by("t", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("t"))
+    members = materialize(with_groups(prints, rows_per_salt), "p1-members")
+    texts = probably_among(rows, "k", members).groupBy("k").agg(F.max_by("t", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("t"))
     members = members.join(texts, "k")
-    kept = members.where("k = keep").select("keep", F.col("t").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    kept = members.where("k = keep").select("keep", F.col("t").alias("kept_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     copies = members.where("k <> keep").withColumn("salt", F.pmod(F.xxhash64("k"), "salts"))
     checked = materialize(copies.join(kept, ["keep", "salt"]).select("fp", "keep", "k", compared("t", "kept_text").alias("c")).select("fp", "keep", "k", "c.*"), "p1-checked")
     same = checked.where("same").select("keep", F.col("k").alias("copy"))

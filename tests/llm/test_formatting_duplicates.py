@@ -45,3 +45,26 @@ def test_fields_are_compared_not_only_hashed(spark, monkeypatch):
     a, b = p1.record_fields("s x = { .a = 1, .b = 2 };"), p1.record_fields("s x = { .b = 2, .a = 1 };")
     assert a == b and hash(a) == hash(b)
     assert p1.fingerprint("int a") != p1.fingerprint("int b") and p1.fingerprint("int a") != p1.fingerprint("int a", 7919)
+
+
+def test_assigned_members_are_no_entries():
+    a = "{ struct s t = { .m = 1 }; int a, b; t.x = 1; g(); int c, d; t.y = 2; h(); int c, d; }"
+    b = "{ struct s t = { .m = 1 }; int c, d; t.y = 2; h(); int c, d; int a, b; t.x = 1; g(); }"
+    for x, y in ((a, b), ("{ s t = { .m = 1 }; t.x = 1, t.y = 2; }", "{ s t = { .m = 1 }; t.y = 2, t.x = 1; }")):
+        assert p1.fingerprint(x) != p1.fingerprint(y) and not p1.same_fields(x, y) and p1.second_fingerprint(x) != p1.second_fingerprint(y)
+
+
+def test_braces_around_statements_do_not_number_initializers():
+    a = "f() { if (x) y(); s t = { .a = 1, .b = { .c = 2, .d = 3 } }; }"
+    b = "f()\n{\n\tif (x) {\n\t\ty();\n\t}\n\ts t = { /* note */ .b = { .d = 3, .c = 2 }, .a = 1, };\n}".replace("/* note */ ", "")
+    assert p1.fingerprint(a) == p1.fingerprint(b) and p1.same_fields(a, b) and p1.second_fingerprint(a) == p1.second_fingerprint(b)
+    two = "s t = { .a = 1 }; s u = { .a = 2 };"
+    assert p1.fingerprint(two) != p1.fingerprint("s t = { .a = 2 }; s u = { .a = 1 };") and not p1.same_fields(two, "s t = { .a = 2 }; s u = { .a = 1 };")
+
+
+def test_wrong_groups_of_the_first_cut_are_taken_apart(spark, monkeypatch):
+    """Rows that only share a fingerprint are grouped again by the second cut."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(p1, "fingerprints", lambda c: F.when(F.length(c) > 0, "all the same"))
+    assert pairs(spark, ["int a;", "int A", "int b;", "int  b", "int c", "int b"]) == [(1, 2), (3, 4), (3, 6)]
