@@ -65,3 +65,15 @@ def probably_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(offset / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = df.withColumn("_block", F.floor(_position(key, bits) / BITS_PER_BLOCK)).join(F.broadcast(blocks), "_block")
     return found.where(F.getbit(byte, offset % 8) == 1).select(*df.columns)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, rows_per_task: int = 50_000) -> DataFrame:
+    """``rows`` joined with ``groups``, one row per key with its number of rows in ``size``, however hot a key is.
+
+    Groups of over a thousandth of all rows, at most a thousand of them, are joined by broadcast,
+    so no task gets the whole of a hot one; the others by shuffle. ``groups`` should be a written table.
+    """
+    hot = F.col(size) > max(rows_per_task, rows.count() // 1000)
+    many = rows.join(F.broadcast(groups.where(hot)), key)
+    few = rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").join(groups.where(~hot), key)
+    return many.unionByName(few)
