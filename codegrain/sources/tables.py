@@ -73,7 +73,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, rows_pe
     Groups of over a thousandth of all rows, at most a thousand of them, are joined by broadcast,
     so no task gets the whole of a hot one; the others by shuffle. ``groups`` should be a written table.
     """
-    hot = F.col(size) > max(rows_per_task, rows.count() // 1000)
+    n = rows.count()
+    if n <= rows_per_task:
+        return rows.join(groups, key)
+    hot = F.col(size) > max(rows_per_task, n // 1000)
     many = rows.join(F.broadcast(groups.where(hot)), key)
     few = rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").join(groups.where(~hot), key)
     return many.unionByName(few)
