@@ -1,17 +1,18 @@
 """Problem 5: the same or almost the same records in two splits.
 
 Similarity hashing: the words of a text, weighted by the root of their frequency, vote on a
-256-bit fingerprint. 40 permutations of the bits each lend a block of 20 bits; blocks are
-joined across the splits, where one side also looks up every block with its three closest
-votes turned. Candidates must lie within a Hamming radius and agree in length, and an exact
-word edit distance decides. With these numbers a pair is met with probability .9998 at 10 % of
-random edits and .996 at 15 % (measured on functions of the test tables). Texts of equal words are one class, found by hash
-before any of this, so copies cost one fingerprint and never all pairs of candidates.
+512-bit fingerprint. Permutations of the bits each lend a block; blocks are joined across the
+splits, where one side also looks up every block with its three closest votes turned. How many
+bits a block has follows from the numbers of texts, how many blocks from the recall that is
+wanted (``plan``). Candidates must lie within a Hamming radius and agree in length, and an exact
+word edit distance decides. Texts of equal words are one class, found by hash before any of
+this, so copies cost one fingerprint and never all pairs of candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -22,24 +23,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codegrain.llm.classes import member_pairs
 from codegrain.session import materialize
+from codegrain.sources.tables import join_groups, probably_among
 
 WORD = re.compile(r"[a-z0-9_]+")
-BITS, BLOCK_BITS, BLOCKS, TURNED = 512, 20, 48, 3
-#: Hamming radius within the first 256 bits, and within the 64 of them that travel with a block. Pairs at 15 % of
-#: edits differ in about a seventh of the bits (37, standard deviation 6), unrelated ones in 115.
-RADIUS, RADIUS_OF_64 = 70, 23
+BITS, TURNED = 512, 3
+WORDS = [f"w{i}" for i in range(BITS // 64)]
+#: Measured on functions of the test tables with 15 % of their words replaced, the rarest ones first, which is the hardest case: the chance that
+#: a block of 20 bits meets, and what another bit takes of it (.203 at 16 bits, .103 at 20, .052 at 24, .025 at 28; with random edits .366 at 20).
+MEETS_20, MEETS_MORE = 0.103, 0.84
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-@lru_cache(1)
-def permutations() -> np.ndarray:
+def plan(left: int, right: int, miss: float = 0.0003) -> tuple[int, int]:
+    """Bits of a block and number of blocks for ``left`` and ``right`` texts.
+
+    Blocks enough that a pair at 15 % of the hardest edits is missed with probability ``miss``; bits such that the
+    rows of the block tables and the pairs that meet by chance are fewest together. At twice
+    the texts a block has about one more bit, so the work grows as the 1.2th power of the texts and not with their product.
+    """
+    def blocks(bits: int) -> int:
+        return math.ceil(math.log(miss) / math.log(1 - min(0.9, MEETS_20 * MEETS_MORE ** (bits - 20))))
+
+    turns = 1 << TURNED
+    cost = {b: blocks(b) * (left + turns * right + left * right * turns / 2**b) for b in range(8, 49)}
+    bits = min(cost, key=cost.get)
+    return bits, blocks(bits)
+
+
+@lru_cache(4)
+def permutations(bits: int, blocks: int) -> np.ndarray:
     """Which bits make up each block: random but fixed, every bit used about equally often."""
     rng = np.random.default_rng(20240229)
-    return np.stack([rng.permutation(BITS)[:BLOCK_BITS] for _ in range(BLOCKS)])
+    return np.stack([rng.permutation(BITS)[:bits] for _ in range(blocks)])
 
 
 @lru_cache(1 << 17)
@@ -56,25 +76,30 @@ def votes(counts: Counter) -> np.ndarray:
     return 2 * (weight @ bits.astype(np.float32)) - weight.sum()
 
 
-def blocks_of(vote: np.ndarray, turned: int) -> np.ndarray:
-    """The blocks of each row of votes, numbered; with all ways to turn the ``turned`` closest votes of a block."""
-    perm = permutations()
-    place = (1 << np.arange(BLOCK_BITS)).astype(np.int32)
-    bits = vote > 0
-    keys = (bits[:, perm] @ place).astype(np.int32) + (np.arange(BLOCKS, dtype=np.int32) << BLOCK_BITS)
-    if turned:
-        close = np.argpartition(np.abs(vote)[:, perm], turned, axis=2)[:, :, :turned]
+def clearness(vote: np.ndarray) -> np.ndarray:
+    """How clear each vote of a row is, in 256 steps."""
+    size = np.abs(vote)
+    return (255 * size / np.maximum(size.max(axis=1, keepdims=True), 1e-9)).astype(np.uint8)
+
+
+def blocks_of(bits: np.ndarray, clear: np.ndarray | None, block_bits: int, blocks: int) -> np.ndarray:
+    """The blocks of each row, numbered; where ``clear`` is given with all ways to turn the closest votes of a block."""
+    perm = permutations(block_bits, blocks)
+    place = 1 << np.arange(block_bits, dtype=np.int64)
+    keys = bits[:, perm].astype(np.int64) @ place + (np.arange(blocks, dtype=np.int64) << block_bits)
+    if clear is not None:
+        close = np.argpartition(clear[:, perm], TURNED, axis=2)[:, :, :TURNED]
         flips = place[close]
-        for i in range(turned):
+        for i in range(TURNED):
             keys = np.concatenate([keys, keys ^ np.tile(flips[:, :, i], (1, 1 << i))], axis=1)
     return keys
 
 
-SIGNATURE = T.StructType().add("words_hash", "string").add("n_words", "integer").add("sample", "long").add("w1", "long").add("w2", "long").add("w3", "long").add("blocks", T.ArrayType(T.IntegerType()))
+SIGNATURE = T.StructType([T.StructField("words_hash", T.StringType()), T.StructField("n_words", T.IntegerType()), *(T.StructField(w, T.LongType()) for w in WORDS), T.StructField("clear", T.BinaryType())])
 
 
-def signatures(turned: int):
-    """A function from text to its class, number of words, 64 bits of the fingerprint and blocks."""
+def signatures(turned: bool):
+    """A function from text to its class, number of words, fingerprint and, if asked for, clearness of the votes."""
 
     @F.pandas_udf(SIGNATURE)
     def signed(text: pd.Series) -> pd.DataFrame:
@@ -86,14 +111,30 @@ def signatures(turned: int):
                 rows.append((None, None, votes(Counter())) if ws is None else (hashlib.md5(" ".join(ws).encode()).hexdigest(), len(ws), votes(Counter(ws))))
             vote = np.stack([v for _, _, v in rows])
             df = pd.DataFrame({"words_hash": [h for h, _, _ in rows], "n_words": pd.array([n for _, n, _ in rows], "Int32")})
-            df[["sample", "w1", "w2", "w3"]] = np.packbits(vote[:, :256] > 0, axis=1).view(np.int64)
-            df["blocks"] = list(blocks_of(vote, turned))
+            df[WORDS] = np.packbits(vote > 0, axis=1).view(np.int64)
+            df["clear"] = [x.tobytes() for x in clearness(vote)] if turned else None
             parts.append(df)
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in SIGNATURE.names})
 
     return signed
 
 
+def blocked(block_bits: int, blocks: int):
+    """A function from a fingerprint, and the clearness of its votes, to its blocks."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def cut(clear: pd.Series, fingerprint: pd.DataFrame) -> pd.Series:
+        out = []
+        for i in range(0, len(clear), 500):
+            bits = np.unpackbits(np.ascontiguousarray(fingerprint.iloc[i:i + 500].to_numpy(np.int64)).view(np.uint8), axis=1)
+            some = clear.iloc[i:i + 500]
+            known = np.frombuffer(b"".join(some), np.uint8).reshape(-1, BITS) if some.notna().any() else None
+            out.extend(blocks_of(bits, known, block_bits, blocks))
+        return pd.Series(out, dtype=object)
+
+    return cut("clear", F.struct(*WORDS))
+
+
 def within(a: list[str], b: list[str], limit: int) -> bool:
     """Whether at most ``limit`` insertions, deletions and replacements of words turn ``a`` into ``b``."""
     if abs(len(a) - len(b)) > limit:
@@ -142,48 +183,75 @@ def alike(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _side(df: DataFrame, key: str, text: str, order: str, name: str, turned: int) -> tuple[DataFrame, DataFrame]:
+def _side(df: DataFrame, key: str, text: str, order: str, name: str, turned: bool) -> tuple[DataFrame, DataFrame]:
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(order).alias("o")).where("k is not null and t is not null")
     signed = rows.select("k", "o", signatures(turned)("t").alias("s"))
     last = materialize(
         signed.groupBy("k").agg(F.max_by("s", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("s")).where("s.words_hash is not null").select("k", "s.*"), f"p5-{name}"
     )
-    texts = rows.groupBy("k").agg(F.max_by("t", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("t"))
-    return last, texts
+    return last, rows
+
+
+def _texts(rows: DataFrame, keys: DataFrame, key: str, into: str) -> DataFrame:
+    """The last text of each of the keys; rows of other keys are dropped where they are read."""
+    keys = keys.select(F.col(key).alias("k")).distinct()
+    last = probably_among(rows, "k", keys).groupBy("k").agg(F.max_by("t", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("t"))
+    return last.select(F.col("k").alias(key), F.col("t").alias(into))
 
 
-def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: str, percent: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hot(a: DataFrame, b: DataFrame, pairs: int, sample: int = 64) -> DataFrame:
+    """``(block, salts)`` of the blocks with, by a sample of both sides, over ``pairs`` pairs; few thousand at most."""
+    def counts(df: DataFrame, x: str) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64(x), F.lit(sample)) == 0).groupBy("block").agg((F.count("*") * sample).alias(f"{x}many"))
+
+    many = counts(a, "l").join(counts(b, "r"), "block").withColumn("salts", F.ceil(F.col("lmany") * F.col("rmany") / pairs))
+    return many.where("salts > 1").select("block", "salts")
+
+
+def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: str, percent: int = 15, miss: float = 0.0003, radius: float = 0.275, radius_of_64: int = 24, pairs_per_task: int = 50_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links between text classes of two splits, and the members of the classes on either side.
 
     Returns ``(links(l, r), left members(rep, k), right members(rep, k))``: a class holds the
     records of a split with equal word lists and is named by its smallest key. Rows with null key,
     null or blank text match nothing; re-deliveries are reduced to the last by ``order``; other
     columns of the inputs are ignored. A text without any word equals only its like.
+
+    ``miss`` is the chance to miss a pair at 15 % of the hardest edits, from which the blocks follow. ``radius`` is
+    the share of all bits in which candidates may differ, ``radius_of_64`` the number of those 64 that travel
+    with a block: pairs at 15 % of edits differ in .11 of the bits, .24 at most, unrelated ones in
+    .45. Blocks of over ``pairs_per_task`` pairs are split.
     """
-    signed, texts = zip(_side(left, key, text, order, "left", 0), _side(right, key, text, order, "right", TURNED))
+    signed, rows = zip(_side(left, key, text, order, "left", False), _side(right, key, text, order, "right", True))
     classes, members = [], []
-    for s in signed:
-        c = s.groupBy("words_hash").agg(F.min("k").alias("rep"), *[F.first(x).alias(x) for x in ("n_words", "sample", "w1", "w2", "w3", "blocks")])
+    for s, x in zip(signed, ("left", "right")):
+        c = materialize(s.groupBy("words_hash").agg(F.min("k").alias("rep"), F.count("*").alias("n"), *[F.first(w).alias(w) for w in ("n_words", *WORDS, "clear")]), f"p5-{x}-classes")
         classes.append(c)
-        members.append(s.select("words_hash", "k").join(c.select("words_hash", "rep"), "words_hash").select("rep", "k"))
-    a, b = (c.select(F.explode("blocks").alias("block"), F.col("rep").alias(x), F.col("n_words").alias(f"{x}n"), F.col("sample").alias(f"{x}s")) for c, x in zip(classes, "lr"))
+        members.append(join_groups(s.select("words_hash", "k"), c.select("words_hash", "rep", "n"), "words_hash", "n").select("rep", "k"))
+    blocks = blocked(*plan(*(c.count() for c in classes)))
+    a, b = (c.select(F.explode(blocks).alias("block"), F.col("rep").alias(x), F.col("n_words").alias(f"{x}n"), F.col("w0").alias(f"{x}s")) for c, x in zip(classes, "lr"))
+    hot = materialize(_hot(a, b, pairs_per_task), "p5-hot")
+    if hot.isEmpty():
+        on = ["block"]
+    else:
+        on = ["block", "salt"]
+        a, b = (x.join(F.broadcast(hot), "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1))) for x in (a, b))
+        a = a.withColumn("salt", F.pmod(F.xxhash64("l"), "salts"))
+        b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     apart = F.bit_count(F.col("ls").bitwiseXOR(F.col("rs")))
-    near = (apart <= RADIUS_OF_64) & (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn"))
-    candidates = a.join(b, "block").where(near).select("l", "r", apart.alias("apart")).distinct()
+    near = (apart <= radius_of_64) & (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn"))
+    candidates = a.join(b, on).where(near).select("l", "r", apart.alias("apart")).distinct()
     for c, x in zip(classes, "lr"):
-        candidates = candidates.join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in ("w1", "w2", "w3")]), x)
-    rest = sum(F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in ("w1", "w2", "w3"))
-    candidates = materialize(candidates.where(F.col("apart") + rest <= RADIUS).select("l", "r"), "p5-candidates")
-    pairs = candidates.join(texts[1].select(F.col("k").alias("r"), F.col("t").alias("rt")), "r").join(texts[0].select(F.col("k").alias("l"), F.col("t").alias("lt")), "l")
+        candidates = candidates.join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in WORDS[1:]]), x)
+    rest = sum(F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in WORDS[1:])
+    candidates = materialize(candidates.where(F.col("apart") + rest <= int(radius * BITS)).select("l", "r"), "p5-candidates")
+    pairs = candidates.join(_texts(rows[1], candidates, "r", "rt"), "r").join(_texts(rows[0], candidates, "l", "lt"), "l")
     links = materialize(pairs.where(alike("lt", "rt", F.lit(percent))).select("l", "r"), "p5-links")
     return links, *members
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, key: str, text: str, order: str, percent: int = 15) -> DataFrame:
     """Every pair ``(left_key, right_key)`` of same or almost the same records, copies written out."""
-    links, lm, rm = cross_split(left, right, key, text, order, percent)
-    out = links.join(lm.select(F.col("rep").alias("l"), F.col("k").alias("left_key")), "l")
-    return out.join(rm.select(F.col("rep").alias("r"), F.col("k").alias("right_key")), "r").select("left_key", "right_key")
+    return member_pairs(*cross_split(left, right, key, text, order, percent))
 
 
 def overlap_report(left: DataFrame, right: DataFrame, key: str, text: str, order: str, source: str, names: tuple[str, str], percent: int = 15) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codegrain.session import materialize
-from codegrain.sources.tables import probably_among
+from codegrain.sources.tables import join_groups, probably_among
 
 # What the statement of the problem says to ignore.
 IGNORED_MARKS = re.compile(r"/\*|\*/|//")
@@ -238,19 +238,6 @@ def compared(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield pd.DataFrame({"same": same, "other": [None if s else second_fingerprint(x) for s, x in zip(same, a)]})
 
 
-def with_groups(prints: DataFrame, rows_per_salt: int) -> DataFrame:
-    """``(k, fp, keep, salts)`` of every row of ``prints(k, fp)`` whose fingerprint another row has.
-
-    Groups of over a thousandth of all rows, at most a thousand, are joined by broadcast, so no
-    task gets the whole of a hot one; the others by shuffle.
-    """
-    groups = materialize(prints.groupBy("fp").agg(F.min("k").alias("keep"), F.count("*").alias("n")).where("n > 1"), "p1-groups").withColumn("salts", F.ceil(F.col("n") / rows_per_salt))
-    hot = F.col("n") > max(rows_per_salt, prints.count() // 1000)
-    known = prints.join(F.broadcast(groups.where(hot).drop("n")), "fp", "left")
-    few = known.where("keep is null").select("fp", "k").join(groups.where(~hot).drop("n"), "fp")
-    return known.where("keep is not null").select("k", "fp", "keep", "salts").unionByName(few.select("k", "fp", "keep", "salts"))
-
-
 def formatting_duplicates(df: DataFrame, key: str, text: str, order: str, rows_per_salt: int = 50_000) -> DataFrame:
     """``(keep, copy)`` for every record whose text is the same as that of a record of smaller key.
 
@@ -265,7 +252,8 @@ def formatting_duplicates(df: DataFrame, key: str, text: str, order: str, rows_p
         rows.select("k", "o", fingerprints("t").alias("fp")).groupBy("k").agg(F.max_by("fp", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("fp")).where("fp is not null"),
         "p1-prints",
     )
-    members = materialize(with_groups(prints, rows_per_salt), "p1-members")
+    groups = materialize(prints.groupBy("fp").agg(F.min("k").alias("keep"), F.count("*").alias("n")).where("n > 1"), "p1-groups")
+    members = materialize(join_groups(prints, groups, "fp", "n").withColumn("salts", F.ceil(F.col("n") / rows_per_salt)), "p1-members")
     texts = probably_among(rows, "k", members).groupBy("k").agg(F.max_by("t", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("t"))
     members = members.join(texts, "k")
     kept = members.where("k = keep").select("keep", F.col("t").alias("kept_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))

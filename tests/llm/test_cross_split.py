@@ -74,3 +74,29 @@ def test_hot_class_and_empty_tables(spark):
     assert links.count() == 1 and left.count() == 200 and right.count() == 50
     assert p5.overlapping_pairs(a, b, "idx", "func", "ingested_at").count() == 10_000
     assert p5.overlapping_pairs(a.limit(0), b, "idx", "func", "ingested_at").count() == 0
+
+
+def test_plan_follows_the_sizes():
+    plans = [p5.plan(n, n // 6) for n in (100, 10_000, 1_000_000, 100_000_000)]
+    assert all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(plans, plans[1:]))
+    for (bits, blocks), n in zip(plans, (100, 10_000, 1_000_000, 100_000_000)):
+        assert blocks * n * (n // 6) * 8 / 2**bits < 60 * n * blocks
+
+
+def test_hot_blocks_are_split(spark, monkeypatch):
+    train, valid = corpus(9, 60)
+    a, b = spark.createDataFrame(train, SCHEMA), spark.createDataFrame(valid, SCHEMA)
+    plain = {tuple(r) for r in p5.overlapping_pairs(a, b, "idx", "func", "ingested_at").collect()}
+    hot = p5._hot
+    monkeypatch.setattr(p5, "_hot", lambda x, y, pairs: hot(x, y, 1, sample=1))
+    assert {tuple(r) for r in p5.overlapping_pairs(a, b, "idx", "func", "ingested_at").collect()} == plain == brute(train, valid)
+
+
+def test_members_of_hot_classes_are_paired_in_parts(spark):
+    from codegrain.llm.classes import member_pairs
+
+    links = spark.createDataFrame([(0, 100), (0, 200)], "l long, r long")
+    left = spark.createDataFrame([(0, i) for i in range(37)], "rep long, k long")
+    right = spark.createDataFrame([(100, 100 + i) for i in range(23)] + [(200, 200)], "rep long, k long")
+    found = [tuple(r) for r in member_pairs(links, left, right, rows_per_salt=5).collect()]
+    assert len(found) == len(set(found)) == 37 * 24
