@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codegrain.llm.classes import member_pairs
 from codegrain.session import materialize
+from codegrain.sources.tables import join_groups
 
-# Latin letters and the Greek and Cyrillic letters of the same shape.
+# Latin, Greek and Cyrillic letters of the same shape, a class of letters to a row.
 SAME_SHAPE = """
 A Α А
 B Β В
@@ -32,13 +34,14 @@ H Η Н
 I Ι І Ӏ
 J Ϳ Ј
 K Κ К
-M Μ М
+M Μ М Ϻ
 N Ν
 O Ο О
 P Ρ Р
 Q Ԛ
 S Ѕ
 T Τ Т
+V Ѵ
 W Ԝ
 X Χ Х
 Y Υ У Ү
@@ -59,13 +62,44 @@ v ν ѵ
 w ԝ
 x х
 y у ү
-Ə Ә
-ə ә
 Æ Ӕ
 æ ӕ
+Ə Ә
+ə ә ǝ
+Ð Đ Ɖ
+Þ Ϸ
+þ ϸ
+Ɔ Ͻ
+ɔ ͻ
+Ɛ Ԑ
+ɛ ε ԑ
+Ɵ Θ Ө Ѳ
+ɵ θ ө ѳ
+Ʃ Σ
+Ʌ Λ
+Ʒ Ӡ
+ʒ ӡ
+Ɯ Ш
+ɯ ш
+ɑ α
+ɣ γ
+ɩ ι
+ʋ υ
+ɜ з
+ʙ в
+ɢ ԍ
+ʜ н
+ᴋ κ к
+ᴍ м
+ᴛ τ т
+ᴙ я
 Γ Г
 Π П
 Φ Ф
+Ψ Ѱ
+ψ ѱ
+Ͷ И
+ͷ и
 """
 
 # Fillers that are letters by category but draw nothing.
@@ -233,22 +267,32 @@ def unified(df: DataFrame, text: str, into: str = "unified") -> DataFrame:
     return df.withColumn(into, rewrite(F.col(text)))
 
 
-def lookalike_pairs(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """``(a, b)``, a < b: records whose texts look the same but are not the same string.
+def lookalike_classes(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """``(k, spelling, form)`` of every record whose text looks like that of another but is not the same string.
 
-    Texts are grouped by a hash of their consistent form. Within a group only the spellings, the
-    distinct texts, are paired; records of equal text are a spelling's members. Rows with a null
-    key or text are left out, re-deliveries reduced to the last by ``order``.
+    A form is a class of texts that look the same, a spelling one of its distinct texts; both are
+    named by their smallest key. Rows with a null key or text are left out, re-deliveries reduced
+    to the last by ``order``. Hot forms and spellings are not brought into one task.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(order).alias("o")).where("k is not null and t is not null")
-    hashed = unified(rows, "t", "u").select("k", "o", F.struct(F.sha2("u", 256).alias("form"), F.sha2("t", 256).alias("spelling")).alias("h"))
+    sha = lambda c: F.unhex(F.sha2(c, 256))
+    hashed = unified(rows, "t", "u").select("k", "o", F.struct(sha("u").alias("form"), sha("t").alias("spelling")).alias("h"))
     last = materialize(hashed.groupBy("k").agg(F.max_by("h", F.coalesce("o", F.lit("1000-01-01").cast("timestamp"))).alias("h")).select("k", "h.*"), "p8-forms")
-    spellings = last.groupBy("form", "spelling").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("form").agg(F.count("*").alias("spellings")).where("spellings > 1").select("form")
-    varied = materialize(last.join(several, "form"), "p8-varied")
-    spelled = varied.select("form", "spelling").distinct()
-    x, y = spelled.select("form", F.col("spelling").alias("s")), spelled.select("form", F.col("spelling").alias("z"))
-    pairs = x.join(y, "form").where("s < z").select("s", "z")
-    members = varied.select("spelling", "k")
-    out = pairs.join(members.select(F.col("spelling").alias("s"), F.col("k").alias("a")), "s").join(members.select(F.col("spelling").alias("z"), F.col("k").alias("b")), "z")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    spelled = materialize(last.groupBy("form", "spelling").agg(F.min("k").alias("s"), F.count("*").alias("n")), "p8-spellings")
+    forms = spelled.groupBy("form").agg(F.min("s").alias("f"), F.count("*").alias("spellings")).where("spellings > 1")
+    varied = materialize(join_groups(spelled, forms, "form", "spellings").select("spelling", "s", "f", "n"), "p8-varied")
+    return join_groups(last.select("spelling", "k"), varied, "spelling", "n").select("k", F.col("s").alias("spelling"), F.col("f").alias("form"))
+
+
+def lookalike_pairs(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """``(a, b)``, a < b: records whose texts look the same but are not the same string.
+
+    Only the spellings of a form are paired, then written out as their members; both in parts of
+    bounded size. ``lookalike_classes`` gives the same without pairs.
+    """
+    classes = materialize(lookalike_classes(df, key, text, order), "p8-classes")
+    spellings = classes.groupBy("form", "spelling").agg(F.lit(1)).select(F.col("form").alias("rep"), F.col("spelling").alias("k"))
+    forms = spellings.select(F.col("rep").alias("l"), F.col("rep").alias("r")).distinct()
+    pairs = member_pairs(forms, spellings, spellings).where("left_key < right_key").select(F.col("left_key").alias("l"), F.col("right_key").alias("r"))
+    members = classes.select(F.col("spelling").alias("rep"), "k")
+    return member_pairs(pairs, members, members).select(F.least("left_key", "right_key").alias("a"), F.greatest("left_key", "right_key").alias("b"))

@@ -102,9 +102,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of texts that look the same, without pairs: each text's class and spelling, by their smallest doc_id."""
+    return p8.lookalike_classes(read_table(spark, sf_dir, "documents", spread_by="doc_id"), "doc_id", "text", "crawled_at").withColumnRenamed("k", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_collapsed, p2_found, p2_files, p2_rates, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified)
+    for f in (p1_found, p1_collapsed, p2_found, p2_files, p2_rates, p3_found, p4_found, p4_pieces, p5_found, p5_report, p6_containers, p6_report, p7_draw, p7_shares, p8_found, p8_unified, p8_classes)
 }
 ORACLES: dict[str, str] = {
     "p4_found": """SELECT DISTINCT 'primevul_train' AS table_name, idx AS rec_id FROM primevul_train WHERE floor(length(func) / 3.5) > 1000

@@ -44,3 +44,19 @@ def test_representatives():
     to = p8.representatives({"é": 1, "ё": 5, "а": 9, "​": 3, " ": 2, "ａ": 1})
     assert to["а"] == to["ａ"] == "a" and to["​"] == "" and to[" "] == " " and to["ë"] == "ё"
     assert all(not (len(x) == 1 and x.isascii()) for x in to)
+
+
+def test_letters_of_the_same_shape():
+    for a, b in [tuple(x) for x in "VѴ ƟӨ ɵө ƩΣ ɑα ĐƉ κк τт ʋυ ΛɅ ɩι".split()]:
+        to = p8.representatives({a: 2, b: 1})
+        assert to.get(a, a) == to.get(b, b), (a, b)
+    letters = [x for row in p8.shapes() for x in row]
+    assert len(letters) == len(set(letters)) and all(sum(x.isascii() for x in row) <= 1 and len({x.isupper() for x in row}) == 1 for row in p8.shapes())
+
+
+def test_classes(spark):
+    texts = [t for g in SAME for t in g] + APART
+    rows = [(i, t, DAY, "", "") for i, t in enumerate(texts)] + [(100, SAME[0][0], DAY, "", ""), (None, "x", DAY, "", "")]
+    found = {r.k: (r.form, r.spelling) for r in p8.lookalike_classes(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "crawled_at").collect()}
+    assert {k for k in found if k < 100} == set(range(sum(map(len, SAME)))) and found[100] == found[0] == (0, 0)
+    assert len({f for f, _ in found.values()}) == len(SAME)
