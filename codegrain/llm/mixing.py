@@ -8,6 +8,8 @@ proportion to its weight at any point; the order is cut where the budget is spen
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,40 +57,53 @@ def _targets(targets: DataFrame) -> DataFrame:
             .groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("uses")))
 
 
-def feasible_budget(documents: DataFrame, targets: DataFrame) -> float:
-    """The largest total at which no source runs out before it has met its share; 0 if there is none.
+def reach(sources: list, total: float) -> float:
+    """The virtual time by which documents of ``total`` tokens have surely finished; infinite if there are not so many.
 
-    A source with a target but no documents can't meet it at any size and does not bind.
+    At time v a source has sent v times its share, or all it has, less at most one document.
     """
-    supply = documents.groupBy("source").agg(F.sum("n").alias("have"))
-    return targets.join(supply, "source").agg(F.min(F.col("have") * F.col("uses") / F.col("share")).alias("budget")).first()["budget"] or 0.0
+    wanted = total + sum(s["longest"] for s in sources)
+    sent, at, rate = 0.0, 0.0, sum(s["share"] for s in sources)
+    for end, share in sorted((s["have"] * s["uses"] / s["share"], s["share"]) for s in sources):
+        if sent + rate * (end - at) >= wanted:
+            return at + (wanted - sent) / rate
+        sent, at, rate = sent + rate * (end - at), end, rate - share
+    return math.inf
 
 
 def mix(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, order: str, budget: int | None = None, seed: int = 0,
         tokenizer: str = tokens.TOKENIZER, rows_per_bucket: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(draw, sizes, targets)``; the draw is ``(position, k, use, source, n, finish)``.
 
-    ``budget`` in tokens is the wanted total; by default the largest at which every source meets
-    its share without exceeding its ``max_repeats``. Under a larger one the sources that run out
+    ``budget`` in tokens is the wanted total; by default the largest at which every source with
+    documents meets its share without exceeding its ``max_repeats``. Under a larger one the sources that run out
     end early and the others go on in proportion. A document is used again only when every other
     one of its source was used as often. Documents without source, without a target, without
     text or with a null key are not drawn; no documents or no targets give an empty draw. Ties in
     the finish time go to the smaller source, then use, then key. Extra columns are ignored.
+
+    One row per source with a target goes to the driver. Only the uses and finish times that the
+    budget can reach are made; these are sorted by ranges that Spark samples to equal sizes.
     """
     documents, targets = sizes(df, key, text, source, order, tokenizer), _targets(targets)
-    rows = documents.count()
-    buckets = max(1, -(-rows * 4 // rows_per_bucket))
-    queue = documents.join(targets, "source").withColumn("use", F.explode(F.sequence(F.lit(1), "uses")))
+    supply = documents.groupBy("source").agg(F.count("*").alias("rows"), F.sum("n").alias("have"), F.max("n").alias("longest"))
+    sources = supply.join(targets, "source").collect()
+    total = float(budget) if budget is not None else min((s["have"] * s["uses"] / s["share"] for s in sources), default=0.0)
+    last = reach(sources, total)
+    needed = [(s["source"], s["share"], min(s["uses"], math.ceil((last * s["share"] + s["longest"]) / s["have"])) if last < math.inf else s["uses"]) for s in sources]
+    limits = df.sparkSession.createDataFrame(needed, "source string, share double, uses int")
+    buckets = max(1, -(-max((s["rows"] for s in sources), default=0) // rows_per_bucket))
+    queue = documents.join(F.broadcast(limits), "source").withColumn("use", F.explode(F.sequence(F.lit(1), "uses")))
     queue = queue.withColumn("slot", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "use", "k"), 2))
     # Buckets of a queue: the use, then equal ranges of the shuffling hash.
     queue = queue.withColumn("bucket", F.col("use") * F.lit(buckets) + F.floor(F.col("slot") / F.lit(float(1 << 62)) * buckets))
-    uses = targets.agg(F.max("uses").alias("most")).first()["most"] or 1
-    timed = running_total(queue, ["source"], ["use", "slot", "k"], "bucket", {"upto": "n"}, buckets * (uses + 1))
-    timed = materialize(timed.select("k", "use", "source", "n", (F.col("upto") / F.col("share")).alias("finish"), F.lit(1).alias("one")), "p7-finish")
-    total = float(budget) if budget is not None else feasible_budget(documents, targets)
-    top = timed.agg(F.max("finish").alias("top")).first()["top"] or 1.0
-    ranged = timed.withColumn("range", F.floor(F.col("finish") / F.lit(float(top)) * (buckets * 8)))
-    placed = running_total(ranged, [], ["finish", "source", "use", "k"], "range", {"total": "n", "position": "one"}, buckets * 8)
+    timed = running_total(queue, ["source"], ["use", "slot", "k"], "bucket", {"upto": "n"}, buckets * (1 + max((n[2] for n in needed), default=0)))
+    timed = timed.select("k", "use", "source", "n", (F.col("upto") / F.col("share")).alias("finish"), F.lit(1).alias("one"))
+    timed = materialize(timed.where(F.col("finish") <= last) if last < math.inf else timed, "p7-finish")
+    by = ["finish", "source", "use", "k"]
+    ranges = max(1, -(-timed.count() // rows_per_bucket))
+    ranged = materialize(timed.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id()), "p7-ranges")
+    placed = running_total(ranged, [], by, "range", {"total": "n", "position": "one"}, ranges)
     return placed.where(F.col("total") <= F.lit(total)).select("position", "k", "use", "source", "n", "finish"), documents, targets
 
 

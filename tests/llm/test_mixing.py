@@ -57,3 +57,19 @@ def test_running_total(spark, buckets):
     plain = df.withColumn("expected", F.sum("v").over(W.partitionBy("g").orderBy("id").rowsBetween(W.unboundedPreceding, 0)))
     out = p7.running_total(plain, ["g"], ["id"], "b", {"total": "v"}, buckets)
     assert out.where("total <> expected").count() == 0 and out.count() == 500
+
+
+def test_the_cut_before_sorting_loses_nothing():
+    one = {"source": "a", "share": 0.5, "have": 100, "uses": 2, "longest": 10}
+    two = {"source": "b", "share": 0.5, "have": 1000, "uses": 1, "longest": 50}
+    assert p7.reach([one, two], 100) == 160 and p7.reach([one, two], 500) == 720 and p7.reach([one, two], 1200) == float("inf") and p7.reach([], 5) == float("inf")
+
+
+def test_same_draw_whatever_the_buckets_and_extra_supply(spark):
+    documents, targets = tables(spark)
+    draws = [[tuple(r) for r in p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at", budget=b, rows_per_bucket=n)[0].orderBy("position").collect()] for b, n in ((4000, 50), (4000, 10_000), (20_000, 64))]
+    assert draws[0] == draws[1] and draws[2][:len(draws[0])] == draws[0]
+    everything = p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at", budget=10**9)[0]
+    supply = {"big": 1, "small": 4, "mid": 2}
+    _, sizes, _ = p7.mix(documents, targets, "doc_id", "text", "source", "crawled_at", budget=10)
+    assert everything.count() == sum(supply.get(r.source, 0) for r in sizes.collect())
