@@ -48,8 +48,8 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = p3.fit_language(read_table(spark, sf_dir, "documents", spread_by="doc_id"), "doc_id", "text", "lang", home="en")
-    return p3.defects(read_table(spark, sf_dir, "train_llama_paired", spread_by="pair_id"), language, "pair_id", "cve_desc", ["cve_desc", "func_before", "func_after"],
-                      ["root_cause", "safety_justification"], "enriched_at")
+    pairs, answers = read_table(spark, sf_dir, "train_llama_paired", spread_by="pair_id"), ["root_cause", "safety_justification"]
+    return p3.defects(pairs, language, p3.fit_manner(pairs, "pair_id", answers), "pair_id", "cve_desc", ["cve_desc", "func_before", "func_after"], answers, "enriched_at")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
