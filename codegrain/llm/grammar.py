@@ -9,6 +9,7 @@ over a corpus, so their verdicts are cached and most statements cost one lookup.
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 
 # The keywords by the kind they get. C and C++ share the first group.
@@ -114,6 +115,21 @@ def first_branches(text: str) -> str | None:
     return None if stack else "\n".join(out)
 
 
+DEEP = 200
+
+
+def nesting(s: str) -> int | None:
+    """How deep brackets are nested in a string of tokens; None if they do not match."""
+    open_, deepest = [], 0
+    for c in s:
+        if c in "([{":
+            open_.append(c)
+            deepest = max(deepest, len(open_))
+        elif c in ")]}" and (not open_ or open_.pop() + c not in ("()", "[]", "{}")):
+            return None
+    return None if open_ else deepest
+
+
 class Syntax:
     """One language; ``valid(text)`` is the verdict."""
 
@@ -145,13 +161,41 @@ class Syntax:
 
     def valid(self, text: str) -> bool:
         s = self.kinds_of(text)
-        if s is None:
+        depth = None if s is None else nesting(s)
+        if depth is None:
             return False
+        if depth > DEEP:
+            s = self.flattened(s)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000 + 60 * nesting(s)))
         try:
             return Unit(self, s).translation_unit()
-        except RecursionError:
+        except RecursionError:  # lambdas within lambdas, thousands deep
             return False
 
+    def flattened(self, s: str) -> str:
+        """Tokens with every expression within more than DEEP brackets checked from the inside and made one number.
+
+        So the depth of expressions and initializers has no limit; that of blocks has none as it is.
+        """
+        out: list[str] = []
+        opened: list[int] = []
+        blocks = [0]  # for each open bracket how many within it are no expressions; these make it none either
+        for c in s:
+            if c in ")]}":
+                start = opened.pop() + 1
+                if not blocks.pop() and len(opened) >= DEEP and Leaf(self, inner := "".join(out[start:])).expression(0) == len(inner):
+                    if c == "}" and out[opened[-1]] == "{":  # a list within a list
+                        out[start - 1:] = "n"
+                        continue
+                    out[start:] = out[start:] if len(inner) == 1 else "n"
+                else:
+                    blocks[-1] += len(out) > start
+            elif c in "([{":
+                opened.append(len(out))
+                blocks.append(0)
+            out.append(c)
+        return "".join(out)
+
     # The parts of statements that hold no statement of their own.
 
     def _simple(self, s: str, declare: bool) -> bool:

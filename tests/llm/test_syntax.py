@@ -40,6 +40,20 @@ def test_deep_nesting_is_parsed():
     assert not g.valid("int x = " + "(" * 700 + "1" + ")" * 699 + ";")
 
 
+@pytest.mark.parametrize("cpp", [False, True])
+def test_any_depth(cpp):
+    g, n = p2.Syntax(cpp), 30_000
+    for a, b, c in (("int x = " + "(" * n, "1", ")" * n + ";"), ("int x = a" + "[b" * n, "", "]" * n + ";"), ("int x[] = " + "{" * n, "1", "}" * n + ";"), ("void f() {" + "if (a) {" * n, "b();", "}" * n + "}")):
+        assert g.valid(a + b + c) and not g.valid(a + b + c[1:])
+    assert not g.valid("int x = " + "(" * n + "1 +" + ")" * n + ";")
+
+
+def test_every_grammar_is_asked_and_tokens_rank():
+    ranking = p2.Ranking({"c": {"int": 50, "->": 20}, "cpp": {"int": 40, "std": 30, "::": 60}})
+    assert p2.accepting("int x;", ranking) == ["c", "cpp"] and p2.accepting("[1, 2]", ranking) == ["json", "python"] and p2.accepting("int A::f() { return 0; }", ranking) == ["cpp"]
+    assert ranking("def f(self):\n    return None")[0] == "python" and ranking('{"a": true, "b": null}')[0] == "json" and ranking("std::x a;")[0] == "cpp"
+
+
 def test_event_texts():
     good = ["VULNIR_EMPTY", "VULNIR_PARSE_FAILED", "[Line 3] SET: a = b | c D{a} U{b@2,c}", "[Line 3] RET: return 0 | [Line ?] ...: VULNIR_TRUNCATED", "[Line 4] CALL[FREE]: free(a[0]) U{a}"]
     bad = ["[Line ] SET: a", "[Line 3] SET:", "[Line 3] SET: a D{a", "[Line 3] SET: f(a", "[Line 3] SET: f]", "[Line 3] SET: a | [Lin", "text", "[Line ?] ...", "[Line 3] SET: "]
