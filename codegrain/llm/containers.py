@@ -10,8 +10,9 @@ containers a task could not fill are opened again and packed with those of other
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,139 +39,148 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
+def least(sizes: list[int], capacity: int) -> int:
+    """A lower bound of the number of containers: for every threshold, what large items leave of room for the others."""
+    big = sorted(sizes)
+    sums = [0, *accumulate(big)]
+    half = bisect_right(big, capacity // 2)
+    best = -(-sums[-1] // capacity)
+    for k in {0, *(x for x in big if x <= capacity // 2)}:
+        low, high = bisect_left(big, k), bisect_right(big, capacity - k)
+        room = (high - half) * capacity - (sums[high] - sums[half]) if high > half else 0
+        best = max(best, len(big) - half + max(0, -(-(sums[half] - sums[low] - room) // capacity)))
+    return best
+
+
 class Left:
-    """The multiset of sizes that are not placed yet."""
+    """The multiset of sizes that are not placed yet, with the set of its sizes as bits."""
 
     def __init__(self, sizes: list[int]) -> None:
-        self.count: dict[int, int] = defaultdict(int)
-        for s in sizes:
-            self.count[s] += 1
+        self.count = Counter(sizes)
         self.distinct = sorted(self.count)
+        self.bits = sum(1 << s for s in self.distinct)
 
     def take(self, s: int) -> None:
         self.count[s] -= 1
         if not self.count[s]:
             del self.count[s]
             del self.distinct[bisect_left(self.distinct, s)]
+            self.bits ^= 1 << s
 
     def put(self, s: int) -> None:
         if s not in self.count:
             insort(self.distinct, s)
+            self.bits |= 1 << s
         self.count[s] += 1
 
 
 def dominated(filling: list[int], waste: int, left: Left) -> bool:
-    """Whether one larger item that is left could stand in for one or two items of the filling."""
-    d = left.distinct
-    for i, a in enumerate(filling):
-        j = bisect_right(d, a)
-        while j < len(d) and d[j] <= a + waste:
-            if left.count[d[j]] > filling.count(d[j]):
-                return True
-            j += 1
-        for b in filling[i + 1:]:
-            j = bisect_left(d, a + b)
-            while j < len(d) and d[j] <= a + b + waste:
-                if left.count[d[j]] > filling.count(d[j]):
-                    return True
-                j += 1
-    return False
-
-
-def fillings(left: Left, room: int, waste: int, steps: list[int], most: int) -> list[list[int]]:
-    """Undominated fillings of ``room`` that waste at most ``waste``, least waste first, at most ``most``.
-
-    ``steps[0]`` is the budget of search steps that remains; it is counted down.
+    """Whether a larger item that is left could stand in for some items of the filling, or one as large as these for two or more.
+
+    Any domination contains such a step, so this finds them all. Sums of items are bits of an integer.
     """
-    found: list[tuple[int, list[int]]] = []
-    d = left.distinct
+    one = more = 0  # the sums of one, and of two or more, of the items
+    for s in filling:
+        more |= more << s | one << s
+        one |= 1 << s
+    reach = 0  # up to ``waste`` above a sum
+    if waste:
+        reach, covered = (one | more) << 1, 1
+        while covered < waste:
+            by = min(covered, waste - covered)
+            reach |= reach << by
+            covered += by
+    spare = left.bits
+    for s, n in Counter(filling).items():
+        if left.count[s] == n:
+            spare &= ~(1 << s)
+    return bool((reach | more) & spare)
+
+
+def fillings(left: Left, room: int, waste: int, steps: list[int]) -> Iterator[list[int]]:
+    """All undominated fillings of ``room`` that waste at most ``waste``, least waste first, then larger items first.
+
+    Which sums the sizes can make is known beforehand, so hardly a step is in vain. ``steps[0]`` is
+    the budget of search steps that remains; it is counted down, and the enumeration ends with it.
+    """
+    d = left.distinct[:bisect_right(left.distinct, room)]
+    count = [left.count[s] for s in d]
+    mask = (2 << room) - 1
+    sums = [1]  # sums[i]: what the first i sizes can make, as bits
+    for s, n in zip(d, count):
+        r, k = sums[-1], 1
+        while n > 0:
+            r |= r << s * min(k, n) & mask
+            n, k = n - k, 2 * k
+        sums.append(r)
     chosen: list[int] = []
-    used: dict[int, int] = defaultdict(int)
-
-    def search(room: int, below: int) -> bool:
-        """Add sizes up to ``below``; True when enough was found."""
-        steps[0] -= 1
-        if steps[0] <= 0:
-            return True
-        i = bisect_right(d, min(room, below)) - 1
-        any_fits = False
-        while i >= 0:
-            s = d[i]
-            i -= 1
-            if left.count[s] <= used[s]:
-                continue
-            any_fits = True
-            chosen.append(s)
-            used[s] += 1
-            done = search(room - s, s)
-            used[s] -= 1
-            chosen.pop()
-            if done:
-                return True
-        if not any_fits and room <= waste:
-            filling = chosen[:]
-            if not dominated(filling, room, left):
-                found.append((room, filling))
-                return len(found) >= most or not room and len(found) >= 2
-        return False
-
-    search(room, room)
-    found.sort(key=lambda f: f[0])
-    return [f for _, f in found]
-
-
-def pack(sizes: list[int], capacity: int, steps: int = 200_000, branches: int = 6) -> list[list[int]]:
-    """Containers of sizes, as few as found within ``steps`` search steps; best fit at worst."""
+
+    def exactly(target: int, top: int) -> Iterator[list[int]]:
+        if not target:
+            yield [d[j] for j in chosen]
+            return
+        for j in range(min(top, bisect_right(d, target) - 1), -1, -1):
+            if not sums[j + 1] >> target & 1:
+                return
+            steps[0] -= 1
+            if steps[0] <= 0:
+                return
+            if count[j] and sums[j + 1] >> (target - d[j]) & 1:
+                count[j] -= 1
+                chosen.append(j)
+                yield from exactly(target - d[j], j)
+                chosen.pop()
+                count[j] += 1
+
+    for w in range(min(waste, room) + 1):
+        if sums[-1] >> (room - w) & 1:
+            for filling in exactly(room - w, len(d) - 1):
+                if not dominated(filling, w, left):
+                    yield filling
+
+
+def pack(sizes: list[int], capacity: int, steps: int = 200_000) -> tuple[list[list[int]], bool]:
+    """Containers of sizes, as few as found within ``steps`` search steps, and whether bin completion made them.
+
+    It does if it needs no more than best fit. Fewer than the lower bound are not looked for.
+    """
     if not sizes:
-        return []
-    incumbent = best_fit(sizes, capacity)
-    total = sum(sizes)
-    fewest = -(-total // capacity)
+        return [], False
+    best, completed = best_fit(sizes, capacity), False
+    fewest, total = least(sizes, capacity), sum(sizes)
+    goal = len(best)  # a solution of so many containers is taken
     budget = [steps]
-    while len(incumbent) > fewest and budget[0] > 0:
-        allowed = (len(incumbent) - 1) * capacity - total  # the waste of a solution that is better by one
-        left = Left(sizes)
-        bins: list[list[int]] = []
-        waste = 0
-        stack: list[Iterator[list[int]]] = []
-        solved = False
-
-        def open_bin() -> Iterator[list[int]]:
+    left = Left(sizes)
+    waste = 0
+    levels: list[list] = []  # [largest item, its fillings, the filling that is tried]
+    while budget[0] > 0 and goal >= fewest:
+        if not levels or levels[-1][2] is not None and waste <= goal * capacity - total and left.distinct:
             largest = left.distinct[-1]
             left.take(largest)
-            options = fillings(left, capacity - largest, allowed - waste, budget, branches)
-            left.put(largest)
-            return iter([[largest, *f] for f in options])
-
-        stack.append(open_bin())
-        while stack:
-            if len(bins) == len(stack):  # undo the filling that was tried last at this depth
-                last = bins.pop()
-                waste -= capacity - sum(last)
-                for s in last:
-                    left.put(s)
-            option = next(stack[-1], None)
-            if option is None:
-                stack.pop()
-                continue
-            for s in option:
-                left.take(s)
-            bins.append(option)
-            waste += capacity - sum(option)
-            if not left.distinct:
-                solved = len(bins) < len(incumbent)
-                break
-            if waste <= allowed and budget[0] > 0:
-                stack.append(open_bin())
-            elif budget[0] <= 0:
+            levels.append([largest, fillings(left, capacity - largest, goal * capacity - total - waste, budget), None])
+        top = levels[-1]
+        if top[2] is not None:
+            for s in top[2]:
+                left.put(s)
+            waste -= capacity - top[0] - sum(top[2])
+        budget[0] -= 1
+        top[2] = next(top[1], None)
+        if top[2] is None:
+            left.put(top[0])
+            levels.pop()
+            if not levels:
                 break
-        if not solved:
-            break
-        incumbent = [b[:] for b in bins]
-    return incumbent
+            continue
+        for s in top[2]:
+            left.take(s)
+        waste += capacity - top[0] - sum(top[2])
+        if not left.distinct:
+            best, completed = [[largest, *filling] for largest, _, filling in levels], True
+            goal = len(best) - 1
+    return best, completed
 
 
-PLACED = T.StructType().add("grp", "long").add("container", "long").add("position", "integer").add("k", "long").add("piece", "integer").add("start", "integer").add("end", "integer").add("n", "long").add("fill", "long")
+PLACED = T.StructType().add("grp", "long").add("container", "long").add("position", "integer").add("k", "long").add("piece", "integer").add("start", "integer").add("end", "integer").add("n", "long").add("fill", "long").add("completed", "boolean")
 
 
 def _packer(capacity: int, steps: int):
@@ -182,11 +192,12 @@ def _packer(capacity: int, steps: int):
         for rows in by_size.values():
             rows.reverse()
         out = []
-        for c, sizes in enumerate(pack(items["n"].tolist(), capacity, steps)):
+        packed, completed = pack(items["n"].tolist(), capacity, steps)
+        for c, sizes in enumerate(packed):
             fill = sum(sizes)
             for p, s in enumerate(sizes, 1):
                 row = by_size[s].pop()
-                out.append((row.grp, c, p, row.k, row.piece, row.start, row.end, s, fill))
+                out.append((row.grp, c, p, row.k, row.piece, row.start, row.end, s, fill, completed))
         return pd.DataFrame(out, columns=PLACED.names)
 
     return run
@@ -210,20 +221,21 @@ def items(df: DataFrame, key: str, text: str, order: str, capacity: int, tokeniz
 
 
 def fill_containers(df: DataFrame, key: str, text: str, order: str, capacity: int = 2048, tokenizer: str = tokens.TOKENIZER, items_per_task: int = 2000, steps: int = 200_000) -> DataFrame:
-    """``(container, position, key, piece, start, end, n)``: where each text, or part of one, goes.
+    """``(container, position, key, piece, start, end, n, made_by)``: where each text, or part of one, goes.
 
     Only a text over the capacity is split; ``start`` and ``end`` are characters, ``n`` tokens.
+    ``made_by`` tells whether bin completion or, where it found no solution as good, best fit filled the container.
     Containers are numbered with gaps, positions from 1. Null and empty texts take
     no room and get no row, nor do rows with a null key; re-deliveries are reduced to the last by
     ``order``; other columns are ignored. Equal inputs give equal containers.
 
-    ``items_per_task`` bounds a packing task, ``steps`` its search. Containers that are not full to
-    99.9 % are packed again with those of other tasks, until one task holds all that is left.
+    ``items_per_task`` bounds a packing task, ``steps`` its search: what is found by then is kept. Containers that are not full to
+    99.9 % are packed again with those of other tasks, until one task holds all that is left, or
+    these are as few as their tokens allow, or another round has saved none.
     """
     todo = materialize(items(df, key, text, order, capacity, tokenizer), "p6-items")
-    count = todo.count()
-    done, level = [], 0
-    full = capacity - capacity // 1024
+    count, open_before, done, level = todo.count(), None, [], 0
+    full = F.col("fill") >= capacity - capacity // 1024
     while True:
         tasks = max(1, -(-count // items_per_task))
         grouped = todo.withColumn("grp", F.pmod(F.xxhash64(F.lit(level), "k", "piece"), F.lit(tasks)))
@@ -231,23 +243,24 @@ def fill_containers(df: DataFrame, key: str, text: str, order: str, capacity: in
         if tasks == 1:
             done.append(placed)
             break
-        done.append(placed.where(F.col("fill") >= full))
-        todo = placed.where(F.col("fill") < full).select("k", "piece", "start", "end", "n")
-        left = todo.count()
-        if left > count * 0.9:  # nothing gained by another round
-            done[-1] = placed
+        bins = F.count_if(F.col("position") == 1)
+        size = placed.agg(bins.alias("bins"), F.count_if((F.col("position") == 1) & ~full).alias("open"), F.count_if(~full).alias("left"), F.sum(F.when(~full, F.col("n"))).alias("tokens")).first()
+        if size["open"] <= -(-(size["tokens"] or 0) // capacity) or open_before is not None and size["bins"] >= open_before:
+            done.append(placed)
             break
-        count, level = left, level + 1
+        done.append(placed.where(full))
+        todo = placed.where(~full).select("k", "piece", "start", "end", "n")
+        count, open_before, level = size["left"], size["open"], level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     # Tasks and containers of a task are fewer than 2**28 each.
     number = F.shiftleft(F.col("level").cast("long"), 56) + F.shiftleft(F.col("grp"), 28) + F.col("container")
-    return out.select(number.alias("container"), "position", F.col("k").alias(key), "piece", "start", "end", "n")
+    return out.select(number.alias("container"), "position", F.col("k").alias(key), "piece", "start", "end", "n", F.when(F.col("completed"), "completion").otherwise("best_fit").alias("made_by"))
 
 
 def fill_report(placed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """One row: containers, items, tokens, the least number of containers possible and the unused share."""
-    bins = placed.groupBy("container").agg(F.sum("n").alias("fill"), F.count("*").alias("items"))
-    total = bins.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest"))
-    return total.select("containers", "items", "tokens", F.ceil(F.col("tokens") / capacity).alias("lower_bound"), (1 - F.col("tokens") / (F.col("containers") * capacity)).alias("unused_share"), "fullest")
+    """One row: containers, how many bin completion made, items, tokens, the least number of containers possible and the unused share."""
+    bins = placed.groupBy("container").agg(F.sum("n").alias("fill"), F.count("*").alias("items"), F.first("made_by").alias("made_by"))
+    total = bins.agg(F.count("*").alias("containers"), F.count_if(F.col("made_by") == "completion").alias("by_completion"), F.sum("items").alias("items"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest"))
+    return total.select("containers", "by_completion", "items", "tokens", F.ceil(F.col("tokens") / capacity).alias("lower_bound"), (1 - F.col("tokens") / (F.col("containers") * capacity)).alias("unused_share"), "fullest")
