@@ -203,20 +203,20 @@ def _packer(capacity: int, steps: int):
     return run
 
 
-ITEMS = T.StructType().add("k", "long").add("o", "timestamp").add("parts", T.ArrayType(T.StructType().add("piece", "integer").add("start", "integer").add("end", "integer").add("n", "long")))
+PARTS = T.ArrayType(T.StructType().add("piece", "integer").add("start", "integer").add("end", "integer").add("n", "long"))
 
 
 def items(df: DataFrame, key: str, text: str, order: str, capacity: int, tokenizer: str) -> DataFrame:
     """``(k, piece, start, end, n)``: one row per text, or per part of a text over the capacity."""
 
-    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(PARTS)
+    def sized(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            sizes = [tokens.size(s, tokenizer) for s in b["t"]]
-            parts = [[(j, x, y, m) for j, (x, y, m) in enumerate(tokens.cuts(s, capacity, tokenizer), 1)] if n > capacity else [(1, 0, len(s), n)] for s, n in zip(b["t"], sizes)]
-            yield pd.DataFrame({"k": b["k"].to_numpy(), "o": b["o"].to_numpy(), "parts": parts})
+            sizes = [tokens.size(s, tokenizer) for s in b]
+            yield pd.Series([[(j, x, y, m) for j, (x, y, m) in enumerate(tokens.cuts(s, capacity, tokenizer), 1)] if n > capacity else [(1, 0, len(s), n)] for s, n in zip(b, sizes)], dtype=object)
 
-    rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(order), F.lit("1000-01-01").cast("timestamp")).alias("o"), F.col(text).alias("t"))
-    last = rows.mapInPandas(sized, ITEMS).groupBy("k").agg(F.max_by("parts", "o").alias("parts"))
+    rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(order), F.lit("1000-01-01").cast("timestamp")).alias("o"), sized(F.col(text)).alias("parts"))
+    last = rows.groupBy("k").agg(F.max_by("parts", "o").alias("parts"))
     return last.select("k", F.explode("parts").alias("p")).select("k", "p.*")
 
 
