@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions import text as X
 from codegrain.operators import examples as S
 from codegrain.operators import ir
+from codegrain.sources import jsonl
 from codegrain.sources.tables import latest
 
 
@@ -27,3 +28,19 @@ def training_set(df: DataFrame, key: str, code: str, events: str, target: str, o
     rows = latest(df.select(key, code, events, target, order), key, order).withColumn("_label", F.coalesce(X.number_of_dirty(F.col(target)), F.lit(0)))
     made = S.build(rows, key, code, events, "_label", stage, context, epoch, window, head, tail)
     return S.packed(made, "prompt", "completion", context).drop("prompt", "completion")
+
+
+def splits(spark: SparkSession, train: str, valid: str | None, schema: str = jsonl.SAMPLES) -> dict[str, DataFrame | None]:
+    """The training split, and the validation split if its path is given and there is something at it."""
+    there = bool(valid) and jsonl.present(spark, valid)
+    return {"train": jsonl.read_lenient(spark, train, schema), "validation": jsonl.read_lenient(spark, valid, schema) if there else None}
+
+
+DATASETS = {"records": training_set}
+
+
+def dataset(name: str):
+    """The function that makes the training set of a name."""
+    if name not in DATASETS:
+        raise NotImplementedError(f"no dataset {name}")
+    return DATASETS[name]

@@ -78,3 +78,62 @@ def test_resumed_stream_into_another_file_system(spark, tmp_path):
         (source / f"{n}.json").write_text(json.dumps(row))
         resume.resumed(spark, str(source), "pair_id long, cve string, func_before string", sink, str(tmp_path / "state"), lambda df: df).awaitTermination()
     assert sorted(r.pair_id for r in spark.read.json(sink).collect()) == [1, 2]
+
+
+class Counting(Stub):
+    """Writes a line for each request, with its options."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self, messages, json=False, **options):
+        with open(self.path, "a") as f:
+            f.write(f"{json} {options.get('temperature')} {options.get('top_k')} {'schema' in options}\n")
+        return super().__call__(messages, json=json, **options)
+
+
+def test_repeated_keys_are_asked_once_each(spark, tmp_path):
+    path = str(tmp_path / "asked")
+    rows = [(1, "c", "", [], "a", "b"), (1, "c", "", [], "a", "b"), (None, "c", "", [], "a", "b"), (2, "c", "", [], "x" * 40_000, "y" * 20_000)]
+    out = E.enriched(spark.createDataFrame(rows, SCHEMA), "pair_id", lambda: Counting(path), "system")
+    assert out.count() == 4 and out.where("quality_tag = 'HIGH_MULTITURN'").count() == 4
+    assert {(r.pair_id, r.truncation_warning, len(r.func_before)) for r in out.collect()} == {(1, None, 1), (None, None, 1), (2, True, 40_000)}
+    asked = open(path).read().split("\n")[:-1]
+    assert len(asked) == 16 and asked.count("True 0.2 50 True") == 4 and asked.count("False 0.2 50 False") == 12
+
+
+def test_replies(spark):
+    texts = ['{"root_cause": "a", "safety_justification": "b"}', '{"root_cause": "a"}', '{"root_cause": 1, "safety_justification": "b"}', '{"root_cause": "a", ', "[1]", "text", "", None, '{"root_cause": null, "safety_justification": "b"}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    from pyspark.sql import functions as F
+
+    out = df.select("k", E.checked_reply(F.col("t")).alias("ok"), E.synthesis(F.col("t"), F.lit("two"), F.lit("three")).alias("s")).orderBy("k").collect()
+    assert [r.ok for r in out] == [True] + [False] * 8
+    assert [tuple(r.s) for r in out] == [("a", "b", E.GOOD), ("a", "three", E.GOOD), ("1", "b", E.GOOD)] + [(E.FAILED, E.FAILED, E.BAD)] * 5 + [("two", "b", E.GOOD)]
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
+    source, sink, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    source.mkdir()
+    spark.createDataFrame([(7, "held", "", [], "h", "y")], SCHEMA).write.json(str(sink))
+    fail = []
+
+    def work(df):
+        fail.append(df.count())
+        return df
+
+    def run(rows):
+        (source / f"{len(list(source.iterdir()))}.json").write_text("\n".join(map(json.dumps, rows)))
+        resume.resumed(spark, str(source), SCHEMA, str(sink), str(state), work).awaitTermination()
+        return sorted(r.pair_id for r in spark.read.schema(SCHEMA).json(str(sink)).collect())
+
+    assert run([{"pair_id": 1, "cve": "c", "func_before": "a"}, {"pair_id": 8, "cve": "held", "func_before": "h"}]) == [1, 7]
+    (state / "commits" / "0").unlink()  # as if the run had ended before the batch was noted
+    for crc in (state / "commits").glob(".0.crc"):
+        crc.unlink()
+    assert run([{"pair_id": 2, "cve": "c", "func_before": "b"}]) == [1, 2, 7]
+
+
+def test_statistics_of_a_run(spark):
+    df = spark.createDataFrame([("HIGH_MULTITURN", True), ("FAIL", None)], "quality_tag string, truncation_warning boolean")
+    assert E.run_statistics(df, 4.0).first().per_second == 0.5 and "per_second" not in E.run_statistics(df).columns

@@ -41,3 +41,33 @@ def test_evaluation(spark):
     steps = pred.withColumn("step", F.lit(10)).unionByName(pred.withColumn("pred", F.lit(0)).withColumn("step", F.lit(5)))
     table, best = V.sweep(df, "idx", "target", steps)
     assert [x.step for x in table.collect()] == [5, 10] and best.first().step == 10
+
+
+def test_evaluations_and_stages(spark):
+    assert (V.EVALUATIONS["lines"].budget, V.EVALUATIONS["test"].budget, V.EVALUATIONS["auxiliary"].budget) == (5632, 7936, 5632)
+    assert V.EVALUATIONS["verdict"].budget == V.code_budget("task_a", 8192) and V.EVALUATIONS["lines"].window == 3
+    assert list(V.after_stage("stage2_2")) == ["verdict_reasoned", "auxiliary"] and V.after_stage("stage1")["verdict_reasoned"].window == 8 and V.after_stage("aux_pretrain", 100)["auxiliary"].budget == 0
+    assert V.sweep_of("stage2_1", "r") == (V.EVALUATIONS["lines"], "r/stage2_1_expert")
+    df = records(spark).dropDuplicates(["idx"]).where("func is not null")
+    for how in V.EVALUATIONS.values():
+        out = V.predicted(df, "idx", "func", "vulnir", Stub, how)
+        assert out.count() == 20 and out.where("pred = 1").count() == (10 if how.reads_verdict_line or how.new_tokens != 96 else 20)
+    assert V.report(V.scores(df, "idx", "target", out).withColumn("checkpoint", F.lit("c"))).columns == ["F1", "Accuracy", "Precision", "Recall", "Checkpoint"]
+    for wrong in (lambda: V.after_stage("x"), lambda: V.sweep_of("x")):
+        try:
+            wrong()
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_splits_and_datasets(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"idx": 1, "func": "x"}\n{"idx": 2}\nnot json\n')
+    found = T.splits(spark, str(tmp_path / "a.json"), str(tmp_path / "missing.json"))
+    assert found["train"].count() == 1 and found["validation"] is None
+    assert T.splits(spark, str(tmp_path / "a.json"), str(tmp_path / "a.json"))["validation"].count() == 1 and T.dataset("records") is T.training_set
+    try:
+        T.dataset("x")
+    except NotImplementedError:
+        return
+    raise AssertionError

@@ -82,3 +82,27 @@ def test_strict_read_and_overwrite(spark, tmp_path):
         jsonl.read_strict(spark, str(tmp_path / "bad"), jsonl.SAMPLES).collect()
     folders = spark.createDataFrame([("checkpoint-20",), ("checkpoint-3",), ("checkpoint-x",)], "name string")
     assert [r.step for r in jsonl.checkpoint_steps(folders, "name").collect()] == [3, 20]
+
+
+def test_overwriting_survives_a_crash_between_its_steps(spark, tmp_path):
+    path = str(tmp_path / "data")
+    spark.range(3).write.json(path)
+    (tmp_path / "data").rename(tmp_path / "data.old")  # the old one moved aside, the new one not yet in place
+    jsonl.recover(spark, path)
+    assert spark.read.json(path).count() == 3
+    jsonl.overwrite(spark.read.schema("id long").json(path).where("id > 0"), path)
+    assert spark.read.json(path).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["data"]
+    spark.range(9).write.json(f"{path}.old")  # the new one in place, the old one not yet deleted
+    jsonl.recover(spark, path)
+    assert spark.read.json(path).count() == 2 and not (tmp_path / "data.old").exists()
+
+
+def test_inferred_reading_and_paths(spark, tmp_path):
+    from datetime import datetime
+
+    (tmp_path / "a.json").write_text('{"idx": 1, "func": "x", "more": [1]}\n{"idx": 2}\nnot json\n')
+    assert jsonl.read_inferred(spark, str(tmp_path / "a.json")).count() == 2
+    df = jsonl.read_inferred(spark, str(tmp_path / "a.json"), "func")
+    assert df.count() == 1 and set(df.columns) == {"idx", "func", "more"}
+    assert jsonl.present(spark, str(tmp_path / "a.json")) and not jsonl.present(spark, str(tmp_path / "b.json"))
+    assert jsonl.summary_path("out/stage1/checkpoint-5/", at=datetime(2030, 1, 2, 3, 4, 5)) == "out/stage1/summary_20300102_030405"
