@@ -39,18 +39,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def plan(left: int, right: int, miss: float = 0.0003) -> tuple[int, int]:
+def plan(left: int, right: int, miss: float = 0.003, pair_cost: float = 0.05) -> tuple[int, int]:
     """Bits of a block and number of blocks for ``left`` and ``right`` texts.
 
     Blocks enough that a pair at 15 % of the hardest edits is missed with probability ``miss``; bits such that the
-    rows of the block tables and the pairs that meet by chance are fewest together. At twice
+    rows of the block tables, which are shuffled, and the pairs that meet by chance, which are only compared where
+    they meet and cost ``pair_cost`` of a row each, cost least together. At twice
     the texts a block has about one more bit, so the work grows as the 1.2th power of the texts and not with their product.
     """
     def blocks(bits: int) -> int:
         return math.ceil(math.log(miss) / math.log(1 - min(0.9, MEETS_20 * MEETS_MORE ** (bits - 20))))
 
     turns = 1 << TURNED
-    cost = {b: blocks(b) * (left + turns * right + left * right * turns / 2**b) for b in range(8, 49)}
+    cost = {b: blocks(b) * (left + turns * right + pair_cost * left * right * turns / 2**b) for b in range(8, 49)}
     bits = min(cost, key=cost.get)
     return bits, blocks(bits)
 
@@ -208,7 +209,7 @@ def _hot(a: DataFrame, b: DataFrame, pairs: int, sample: int = 64) -> DataFrame:
     return many.where("salts > 1").select("block", "salts")
 
 
-def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: str, percent: int = 15, miss: float = 0.0003, radius: float = 0.275, radius_of_64: int = 24, pairs_per_task: int = 50_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: str, percent: int = 15, miss: float = 0.003, radius: float = 0.275, radius_of_128: float = 0.285, pairs_per_task: int = 50_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links between text classes of two splits, and the members of the classes on either side.
 
     Returns ``(links(l, r), left members(rep, k), right members(rep, k))``: a class holds the
@@ -217,9 +218,8 @@ def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: s
     columns of the inputs are ignored. A text without any word equals only its like.
 
     ``miss`` is the chance to miss a pair at 15 % of the hardest edits, from which the blocks follow. ``radius`` is
-    the share of all bits in which candidates may differ, ``radius_of_64`` the number of those 64 that travel
-    with a block: pairs at 15 % of edits differ in .11 of the bits, .24 at most, unrelated ones in
-    .45. Blocks of over ``pairs_per_task`` pairs are split.
+    the share of all bits in which candidates may differ, ``radius_of_128`` the share of the 128 that travel with a block:
+    pairs at 15 % of edits differ in .11 of the bits, .24 at most, unrelated ones in .45. Blocks of over ``pairs_per_task`` pairs are split.
     """
     signed, rows = zip(_side(left, key, text, order, "left", False), _side(right, key, text, order, "right", True))
     classes, members = [], []
@@ -227,8 +227,8 @@ def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: s
         c = materialize(s.groupBy("words_hash").agg(F.min("k").alias("rep"), F.count("*").alias("n"), *[F.first(w).alias(w) for w in ("n_words", *WORDS, "clear")]), f"p5-{x}-classes")
         classes.append(c)
         members.append(join_groups(s.select("words_hash", "k"), c.select("words_hash", "rep", "n"), "words_hash", "n").select("rep", "k"))
-    blocks = blocked(*plan(*(c.count() for c in classes)))
-    a, b = (c.select(F.explode(blocks).alias("block"), F.col("rep").alias(x), F.col("n_words").alias(f"{x}n"), F.col("w0").alias(f"{x}s")) for c, x in zip(classes, "lr"))
+    blocks = blocked(*plan(*(c.count() for c in classes), miss))
+    a, b = (c.select(F.explode(blocks).alias("block"), F.col("rep").alias(x), F.col("n_words").alias(f"{x}n"), *[F.col(w).alias(f"{x}{w}") for w in WORDS[:2]]) for c, x in zip(classes, "lr"))
     hot = materialize(_hot(a, b, pairs_per_task), "p5-hot")
     if hot.isEmpty():
         on = ["block"]
@@ -237,12 +237,13 @@ def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: s
         a, b = (x.join(F.broadcast(hot), "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1))) for x in (a, b))
         a = a.withColumn("salt", F.pmod(F.xxhash64("l"), "salts"))
         b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    apart = F.bit_count(F.col("ls").bitwiseXOR(F.col("rs")))
-    near = (apart <= radius_of_64) & (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn"))
+    differ = lambda ws: sum(F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in ws)
+    apart = differ(WORDS[:2])
+    near = (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn")) & (apart <= int(radius_of_128 * 128))
     candidates = a.join(b, on).where(near).select("l", "r", apart.alias("apart")).distinct()
     for c, x in zip(classes, "lr"):
-        candidates = candidates.join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in WORDS[1:]]), x)
-    rest = sum(F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in WORDS[1:])
+        candidates = candidates.join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in WORDS[2:]]), x)
+    rest = differ(WORDS[2:])
     candidates = materialize(candidates.where(F.col("apart") + rest <= int(radius * BITS)).select("l", "r"), "p5-candidates")
     pairs = candidates.join(_texts(rows[1], candidates, "r", "rt"), "r").join(_texts(rows[0], candidates, "l", "lt"), "l")
     links = materialize(pairs.where(alike("lt", "rt", F.lit(percent))).select("l", "r"), "p5-links")
