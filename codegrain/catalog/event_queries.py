@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from codegrain.operators import events as V
-from codegrain.operators import ir
+from codegrain.operators import statements as S
 from codegrain.sources.tables import latest, read_table
 
 
@@ -81,20 +81,20 @@ def render_ir_production(spark, sf_dir):
 def extract_ir(spark, sf_dir):
     """Event texts made from the code itself."""
     rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "func", "ingested_at", spread_by="idx"), "idx", "ingested_at")
-    return ir.generated(rows, "idx", "func")
+    return S.generated(rows, "idx", "func")
 
 
 def key_vars(spark, sf_dir):
     """The names that each event of the code shows, in their order, by seeds, closure, definitions and uses."""
     rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "func", "ingested_at", spread_by="idx"), "idx", "ingested_at")
-    names = ir.named_events(rows, "idx", "func")[1].select("idx", "pos", F.posexplode("uses").alias("rank", "name"))
+    names = S.named_events(rows, "idx", "func")[1].select("idx", "pos", F.posexplode("uses").alias("rank", "name"))
     return names.select("idx", "pos", (F.col("rank") + 1).alias("rank"), F.regexp_replace("name", r"@\d+$", "").alias("name"))
 
 
 def ir_changes(spark, sf_dir):
     """Event texts that differ from the stored ones when made anew, per project."""
     rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "func", "vulnir", "project", "ingested_at", spread_by="idx"), "idx", "ingested_at")
-    return ir.changes(rows, "idx", "func", "vulnir", "project")
+    return S.changes(rows, "idx", "func", "vulnir", "project")
 
 
 QUERIES = {f.__name__: f for f in (event_parse, api_category_join, sink_roles, run_length_calls, last_definitions, closure2, topk_vars, event_limit, render_ir, event_limit_production, render_ir_production, extract_ir, key_vars, ir_changes)}

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from codegrain.functions import text as X
 from codegrain.operators import examples as S
-from codegrain.operators import ir
+from codegrain.operators import statements
 from codegrain.sources import jsonl
 from codegrain.sources.tables import latest
 
 
 def with_events(df: DataFrame, key: str, code: str, into: str) -> DataFrame:
     """Records with event texts made anew from their code; old ones are replaced."""
-    return df.drop(into).join(ir.generated(df, key, code).withColumnRenamed("ir", into), key, "left")
+    return df.drop(into).join(statements.generated(df, key, code).withColumnRenamed("ir", into), key, "left")
 
 
 def training_set(df: DataFrame, key: str, code: str, events: str, target: str, order: str, stage: str, context: int = 6144, epoch: int = 0) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from codegrain.operators import events as V
-from codegrain.operators import ir
+from codegrain.operators import statements as ir
 
 EXAMPLE = """int f(char *dst, char *src, int n) {
     int len = n + 4;
@@ -28,43 +28,48 @@ def test_worked_example(spark):
     assert out[4] == "[Line 1] RET: return"
 
 
-def kinds(code):
-    return [(e[2], e[4]) for e in ir.Reader(ir.cleaned(code)).read()]
+def kinds(spark, code):
+    df = spark.createDataFrame([(1, code)], "k int, code string")
+    rows = ir.raw_events(ir.statements(df, "k", "code"), "k").orderBy("pos").collect()
+    return [(r.kind, r.text) for r in rows]
 
 
-def test_statements():
-    assert kinds("void f() { do { g(a); } while (a < 3); switch (x) { case 1: goto out; } out: i++; i = i + 1; }") == [
-        ("BRANCH", "do ((a < 3))"), ("CALL", "g(...)"), ("SWITCH", "switch ((x))"), ("GOTO", "goto out")]
-    assert kinds("void f() { for (int i = 0; i < n; i++) p->q.r[i] = h(i); }") == [
+def test_statements(spark):
+    assert kinds(spark, "void f() { do { g(a); } while (a < 3); switch (x) { case 1: goto out; } out: i++; i = i + 1; }") == [
+        ("CALL", "g(...)"), ("BRANCH", "do ((a < 3))"), ("SWITCH", "switch ((x))"), ("GOTO", "goto out")]
+    assert kinds(spark, "void f() { for (int i = 0; i < n; i++) p->q.r[i] = h(i); }") == [
         ("BRANCH", "for (i < n)"), ("SET", "i = 0"), ("CALL", "h(...) -> p->q->r[i]"), ("INDEX", "p->q.r[i]"), ("CALL", "h(...)")]
+    assert kinds(spark, "void f() { for (auto &x : items(a[i])) g(x); }") == [("CALL", "items(...)"), ("INDEX", "a[i]"), ("CALL", "g(...)")]
+    assert kinds(spark, "int g(void) { a(); } int h(void) { b(); }") == [("CALL", "a(...)")]
+    assert kinds(spark, "x = y; return f(z);") == [("SET", "x = y"), ("RET", "return f(z)")]
 
 
-def test_closures():
-    events = ir.Reader("void f() { each(v, [&, k = g(a)](const T &x) { if (x.n > lim) h(x); int y = k; return y; }); z(); }").read()
-    assert [(e[2], e[4]) for e in events] == [
-        ("CALL", "each(...)"), ("CALL", "g(...)"), ("BRANCH", "if ((x.n > lim))"), ("CALL", "h(...)"), ("SET", "y = k"), ("RET", "return y"), ("CALL", "z(...)")]
-    assert events[0][6] == sorted(["v", "k", "g", "a", "x", "x.n", "lim", "h", "y"])
-    assert kinds("void f() { auto cb = [] { return [&] { g(); }; }; m = ({ int t = h(b); t; }); }")[1:] == [
-        ("RET", "return [&] { g(); }"), ("SET", "m = ({ int t = h(b); t; })"), ("CALL", "h(...) -> t"), ("CALL", "h(...)")]
+def test_what_is_no_event(spark):
+    assert kinds(spark, 'void f() { char buf[LEN]; /* a(); } */ s = "b(); {"; // c();\n#define D d()\n i = i - 1u; x++; y = sizeof(z); t[3]; }') == [("SET", 's = "b(); {"'), ("SET", "y = sizeof(z)")]
 
 
-def test_loops_over_a_range():
-    assert kinds("void f() { for (auto &x : items(a[i])) g(x); }") == [("CALL", "items(...)"), ("INDEX", "a[i]"), ("CALL", "g(...)")]
-    assert kinds("void f() { for (int n = h(b); auto x : list) g(x); }") == [("CALL", "h(...) -> n"), ("CALL", "h(...)"), ("CALL", "g(...)")]
+def test_declarations(spark):
+    assert kinds(spark, "void f() { int a = g(x, y), *b = q->r + 1, c; struct s v = { .a = 1 }; std::vector<int> w = T::make(u); }") == [
+        ("CALL", "g(...) -> a"), ("SET", "b = q->r + 1"), ("CALL", "g(...)"), ("SET", "v = { .a = 1 }"), ("CALL", "make(...) -> w"), ("CALL", "make(...)")]
 
 
-def test_constructor_arguments():
-    events = ir.Reader("void f() { Lock l(mu(a), b); Pair p{c, g(d)}, q{}; use(l); }").read()
-    assert [(e[2], e[4], e[5], e[6]) for e in events] == [
-        ("SET", "l = (mu(a), b)", ["l"], ["a", "b", "mu"]), ("CALL", "mu(...)", [], ["a"]),
-        ("SET", "p = {c, g(d)}", ["p"], ["c", "d", "g"]), ("SET", "q = {}", ["q"], []), ("CALL", "g(...)", [], ["d"]), ("CALL", "use(...)", [], ["l"])]
-    assert kinds("void f() { int g(int a, char *), h(void), k(FILE *f), m(); T n(std::vector<int> v, const T &t); g(1); }") == [("CALL", "g(...)")]
+def test_names(spark):
+    rows = {"a->b.c + d": ["a", "a->b", "a->b->c", "d"], "f(x, \"y z\", 'q', 0x1F, 10u)": ["f", "x"], "t[i].n + (p)->m": ["i", "p", "t"], "NULL": [], "s . n": ["s", "s.n"], "ns::f(1)": ["ns::f"]}
+    df = spark.createDataFrame([(k,) for k in rows], "e string")
+    assert {r.e: r.s for r in df.select("e", ir.symbols(F.col("e")).alias("s")).collect()} == rows
+    single = {"&x": "x", "*p": "p", "a->b.c": "a->b->c", "\"s\"": "", "17": "", "b[i]": "b[i]", "b[0]": "b", "n + 1": "n + 1", "(*q)->z": "q->z"}
+    df = spark.createDataFrame([(k,) for k in single], "e string")
+    assert {r.e: r.s for r in df.select("e", ir.symbol(F.col("e")).alias("s")).collect()} == single
+    guards = {"(a < b && c)": ["a", "b"], "(!p || q->r == NULL)": ["p", "q", "q->r"], "(x)": [], "(a->b)": [], "(x << 2)": []}
+    df = spark.createDataFrame([(k,) for k in guards], "e string")
+    assert {r.e: r.s for r in df.select("e", ir.guarded(F.col("e")).alias("s")).collect()} == guards
 
 
-def test_brace_initializers():
-    events = ir.Reader("void f() { struct s v = { .a = g(x), [k] = y, .b.c = { z, 1 } }; w = T{u, h(t)}; }").read()
-    assert [(e[2], e[4].split("(")[0], e[6]) for e in events] == [
-        ("SET", "v = { .a = g", ["g", "k", "x", "y", "z"]), ("CALL", "g", ["x"]), ("SET", "w = T{u, h", ["h", "t", "u"]), ("CALL", "h", ["t"])]
+def test_long_and_deep_texts(spark):
+    long = "void f() { x = g(" + ", ".join(f'"s{i}", a{i}' for i in range(2_000)) + "); " + "y = z; " * 3_000 + "h(" * 40 + ")" * 40 + "; w = v; }"
+    df = spark.createDataFrame([(1, long)], "k int, code string")
+    rows = ir.raw_events(ir.statements(df, "k", "code"), "k")
+    assert rows.where("kind = 'SET'").count() == 3_001 and rows.where("text = 'g(...) -> x'").first().uses[:1] == ["a0"]
 
 
 def test_assigned_calls_come_twice_and_runs_are_compressed(spark):
@@ -74,8 +79,8 @@ def test_assigned_calls_come_twice_and_runs_are_compressed(spark):
 
 
 def test_broken_code_is_survived(spark):
-    assert kinds("void f() { x = = 3; y = 4; }") == [("SET", "y = 4")]
-    assert ir.Reader("{" + "x = = 3;" * 200 + "}").read() is None
+    assert kinds(spark, "void f() { x = = 3; y = 4; }") == [("SET", "y = 4")]
+    assert kinds(spark, "{" + "x = = 3;" * 200 + "}") == []
     df = spark.createDataFrame([(1, "{" + "x = = 3;" * 200 + "}")], "k int, code string")
     assert ir.generated(df, "k", "code").first().ir == V.FAILED
 
