@@ -192,9 +192,9 @@ def raw_events(pieces: DataFrame, key: str, most: int = 120) -> DataFrame:
     more = places.where(F.col("bracket").startswith("(") & ~F.col("name").isin(*NO_CALLS)).select(key, "at", "sub", "line", F.lit(None).cast("string").alias("lhs"), *[c.alias(n) for n, c in inner.items()])
     index = F.substring("bracket", F.lit(2), F.greatest(F.length("bracket") - 2, F.lit(0)))
     base, names = last_prefix(F.col("name")), symbols(index)
-    indexed = places.where(F.col("bracket").startswith("[") & (F.size(names) > 0)).select(
+    indexed = places.where(F.col("bracket").startswith("[") & ~F.col("name").isin(*NO_NAMES) & (F.size(names) > 0)).select(
         key, "at", "sub", "line", F.lit("INDEX").alias("kind"), F.lit("SINK").alias("tag"), X.shorten(F.concat("name", "bracket"), 80).alias("text"), none.alias("defs"),
-        F.array_sort(F.array_union(prefixes(F.col("name")), names)).alias("uses"), F.array_distinct(F.filter(F.array(base, symbol(index)), lambda n: n != "")).alias("keys"))
+        F.array_sort(F.array_union(symbols(F.col("name")), names)).alias("uses"), F.array_distinct(F.filter(F.array(base, symbol(index)), lambda n: n != "")).alias("keys"))
 
     both = calls.unionByName(more)
     marked = F.filter(F.transform(F.filter("roles", lambda r: r < F.size("args")), lambda r: symbol(F.element_at("args", r + 1))), lambda n: n != "")
