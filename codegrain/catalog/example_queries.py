@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from codegrain.catalog.pruning_queries import pruned_sql
 from codegrain.functions import pieces as P
 from codegrain.functions import text as X
 from codegrain.operators import examples as S
@@ -104,7 +105,32 @@ def logprob_choice(spark, sf_dir):
     return rows.select("idx", M.preferred([score("func", 97), score("vulnir", 89)], [score("func", 83), score("project", 7)]).alias("choice"))
 
 
-QUERIES = {f.__name__: f for f in (label_mapping, task_mixture, prompts, fused_output, build_examples, pack_labels, pad_batch, pack_labels_production, pad_batch_production, reservoir_stats, autotune_window, binary_metrics, metrics_by_checkpoint, best_checkpoint, confusion, logprob_choice)}
+def labels_by_record(spark, sf_dir):
+    return _train(spark, sf_dir).select("idx", S.label(F.col("label")).alias("label"))
+
+
+def tasks_by_record(spark, sf_dir):
+    """The task that each stage draws for each record in the first two epochs."""
+    stages = [F.struct(F.lit(s).alias("stage"), F.lit(e).alias("epoch"), S.task(s, S.draw(F.col("idx"), e)).alias("task")) for s in S.MIXTURES for e in (0, 1)]
+    return _train(spark, sf_dir).select("idx", F.explode(F.array(*stages)).alias("t")).select("idx", "t.*")
+
+
+def pack_arrays(spark, sf_dir):
+    """The packed arrays themselves, as hashes of their numbers."""
+    rows = _train(spark, sf_dir).where("func is not null").withColumn("prompt", S.prompt("task_a", F.col("func"), F.lit(""))).withColumn("answer", S.label(F.col("label")))
+    told = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " ").cast("binary")).alias(c)
+    return S.packed(rows, "prompt", "answer", 6144).select("idx", told("input_ids"), told("labels"), told("attention_mask"))
+
+
+def pad_arrays(spark, sf_dir):
+    """The padded arrays of batches of 64, as hashes of their numbers."""
+    rows = _train(spark, sf_dir).where("vulnir is not null").withColumn("none", F.lit("")).select("idx", "none", "vulnir")
+    told = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " ").cast("binary")).alias(c)
+    padded = S.padded(S.packed(rows, "none", "vulnir", 6144).withColumn("batch", F.floor(F.col("idx") / 64)), "batch")
+    return padded.select("idx", told("input_ids"), told("labels"), told("attention_mask"))
+
+
+QUERIES = {f.__name__: f for f in (labels_by_record, tasks_by_record, pack_arrays, pad_arrays, label_mapping, task_mixture, prompts, fused_output, build_examples, pack_labels, pad_batch, pack_labels_production, pad_batch_production, reservoir_stats, autotune_window, binary_metrics, metrics_by_checkpoint, best_checkpoint, confusion, logprob_choice)}
 
 NUMBER = r"""CAST(trunc(TRY_CAST(regexp_replace(target, '["\s]', '', 'g') AS DOUBLE)) AS INTEGER)"""
 TRAIN = f"t AS (SELECT DISTINCT idx, func, vulnir, project, {NUMBER} AS target, coalesce({NUMBER}, 0) AS label FROM primevul_train)"
@@ -149,3 +175,34 @@ ORACLES = {
         SELECT batch, CAST(max(n) AS INTEGER) AS longest, CAST(max(n) AS INTEGER) AS shortest, CAST(sum(n) AS BIGINT) AS attended FROM p GROUP BY batch""",
 }
 ORACLES |= {f"{name}_production": re.sub(r"\b(300|400)\b", "6144", ORACLES[name]) for name in ("pack_labels", "pad_batch")}
+
+DRAWN = "((idx * 7919 + 104729 + {0} * 15485863) % 1000) / 1000.0"
+ORACLES["labels_by_record"] = f"WITH {TRAIN} SELECT idx, {LABEL} AS label FROM t"
+ORACLES["tasks_by_record"] = f"WITH {TRAIN}, r AS (" + " UNION ALL ".join(f"SELECT idx, {e} AS epoch, {DRAWN.format(e)} AS r FROM t" for e in (0, 1)) + """)
+    SELECT idx, 'aux_pretrain' AS stage, epoch, CASE WHEN r < 0.5 THEN 'task_c' ELSE 'task_b' END AS task FROM r UNION ALL SELECT idx, 'task1_finetune', epoch, 'task_a' FROM r
+    UNION ALL SELECT idx, 'joint_finetune', epoch, CASE WHEN r < 0.34 THEN 'task_a_cot' WHEN r < 0.67 THEN 'task_b' ELSE 'task_c' END FROM r"""
+IDS = "list_transform({0}, lambda p: CAST('0x' || left(md5(p), 7) AS BIGINT))"
+TOLD = "md5(array_to_string({0}, ' '))"
+ORACLES["pack_arrays"] = f"""WITH {TRAIN}, p AS (SELECT idx, {PIECES.format('(' + _prompt('task_a') + ')')} AS p, {PIECES.format("(" + LABEL + " || '<|im_end|>')")} AS c FROM t WHERE func IS NOT NULL),
+    i AS (SELECT idx, {IDS.format('p')} AS p, {IDS.format('c')} AS c FROM p)
+    SELECT idx, {TOLD.format('list_concat(p, c)[1:6144]')} AS input_ids, {TOLD.format('list_concat(list_transform(p, lambda x: -100), c)[1:6144]')} AS labels, {TOLD.format('list_transform(list_concat(p, c)[1:6144], lambda x: 1)')} AS attention_mask FROM i"""
+ORACLES["pad_arrays"] = f"""WITH {TRAIN}, p AS (SELECT idx, {IDS.format(PIECES.format("(vulnir || '<|im_end|>')"))}[1:6144] AS c FROM t WHERE vulnir IS NOT NULL),
+    m AS (SELECT *, max(len(c)) OVER (PARTITION BY CAST(floor(idx / 64.0) AS BIGINT)) AS n FROM p), f AS (SELECT *, range(n - len(c)) AS gap FROM m)
+    SELECT idx, {TOLD.format('list_concat(c, list_transform(gap, lambda x: 0))')} AS input_ids, {TOLD.format('list_concat(c, list_transform(gap, lambda x: -100))')} AS labels,
+        {TOLD.format('list_concat(list_transform(c, lambda x: 1), list_transform(gap, lambda x: 0))')} AS attention_mask FROM f"""
+
+
+def _limits() -> str:
+    return "CASE task " + " ".join(f"WHEN '{t}' THEN {max(0, S.code_budget(t, 6144))}" for t, _ in S.MIXTURES["joint_finetune"]) + " END"
+
+
+SHOWN = {t: _prompt(t).replace("|| func ||", "|| code ||") for t in S.TEMPLATES}
+TELLING = "array_to_string(list_filter(string_split_regex(vulnir, '\\r\\n|[\\n\\r\\v\\f]'), lambda x: regexp_matches(lower(x), 'call|sink|source|taint|line|memcpy|strcpy|sprintf|malloc|free|bounds')), chr(10))"
+CUT_IR = f"""CASE WHEN vulnir IS NULL OR vulnir = '' THEN '' WHEN len({PIECES.format('vulnir')}) <= 256 THEN vulnir ELSE array_to_string(({PIECES.format('vulnir')})[1:73], '') || chr(10) || '# ...' || chr(10)
+    || array_to_string(({PIECES.format(TELLING)})[1:100], '') || chr(10) || '# ...' || chr(10) || array_to_string(({PIECES.format('vulnir')})[len({PIECES.format('vulnir')}) - 72:], '') END"""
+ORACLES["build_examples"] = f"""WITH {TRAIN}, r AS (SELECT *, {DRAWN.format(0)} AS r FROM t WHERE func IS NOT NULL),
+    q AS (SELECT row_number() OVER () AS row, idx, func, vulnir, label, CASE WHEN r < 0.34 THEN 'task_a_cot' WHEN r < 0.67 THEN 'task_b' ELSE 'task_c' END AS task FROM r),
+    {pruned_sql('q', _limits(), 12, 20, 15, 'idx, task, vulnir, label')},
+    m AS (SELECT idx, task, CASE task WHEN 'task_a_cot' THEN {SHOWN['task_a_cot']} WHEN 'task_b' THEN {SHOWN['task_b']} ELSE {SHOWN['task_c']} END AS prompt,
+        CASE task WHEN 'task_a_cot' THEN 'Analysis:' || chr(10) || coalesce(vulnir, '') || chr(10) || chr(10) || 'Verdict: ' || {LABEL} ELSE {CUT_IR} END AS completion FROM pruned)
+    SELECT idx, task, CAST(coalesce(len({PIECES.format('prompt')}), 0) AS INTEGER) AS prompt_pieces, CAST(coalesce(len({PIECES.format('completion')}), 0) AS INTEGER) AS completion_pieces FROM m"""

@@ -25,7 +25,15 @@ def raw_events(spark, sf_dir):
     return events.select("idx", "pos", "line", "kind", "tag", "text", *[F.array_join(F.array_sort(c), " ; ").alias(c) for c in ("defs", "uses", "keys")])
 
 
-QUERIES = {f.__name__: f for f in (statement_pieces, raw_events)}
+def shown_names(spark, sf_dir):
+    """The names that each event of the code shows: by seeds, two steps of dependence, definitions and uses; with the lines of their definitions."""
+    events = S.raw_events(_pieces(spark, sf_dir), "idx")
+    named = events.join(V.definitions(events, "idx"), "idx", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,struct<line:int,uses:array<string>>>")))
+    names = V.key_names(F.col("keys"), F.col("defs"), F.col("uses"), F.col("known"), S.most_names())
+    return named.select("idx", "pos", F.posexplode(names).alias("rank", "name")).select("idx", "pos", (F.col("rank") + 1).alias("rank"), "name")
+
+
+QUERIES = {f.__name__: f for f in (statement_pieces, raw_events, shown_names)}
 
 
 def _sql(pattern: str) -> str:
@@ -127,3 +135,17 @@ ORACLES = {
     "statement_pieces": f'WITH {PIECES} SELECT idx, place, line, piece, "do", broken FROM b',
     "raw_events": f"WITH {EVENTS} SELECT idx, CAST(row_number() OVER (PARTITION BY idx ORDER BY place, sub) - 1 AS INTEGER) AS pos, line, kind, tag, text, {JOINED} FROM every",
 }
+ORACLES["shown_names"] = f"""WITH {EVENTS}, ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY idx ORDER BY place, sub) - 1 AS INTEGER) AS pos FROM every),
+    df AS (SELECT idx, name, max_by(line, pos) AS line, max_by(uses, pos) AS uses FROM (SELECT idx, pos, line, uses, unnest(defs) AS name FROM ev) GROUP BY idx, name),
+    k0 AS (SELECT DISTINCT idx, pos, unnest(keys) AS name FROM ev),
+    k1 AS (SELECT DISTINCT k0.idx, pos, unnest(df.uses) AS name FROM k0 JOIN df ON k0.idx = df.idx AND k0.name = df.name),
+    k2 AS (SELECT DISTINCT k1.idx, pos, unnest(df.uses) AS name FROM k1 JOIN df ON k1.idx = df.idx AND k1.name = df.name),
+    cand AS (SELECT * FROM k0 UNION SELECT * FROM k1 UNION SELECT * FROM k2 UNION SELECT idx, pos, unnest(defs) FROM ev),
+    scored AS (SELECT c.idx, c.pos, c.name, CASE WHEN list_contains(keys, name) THEN 100 ELSE 0 END + CASE WHEN list_contains(defs, name) THEN 60 ELSE 0 END + CASE WHEN list_contains(uses, name) THEN 20 ELSE 0 END
+        - CAST(floor(least(length(name), 40) / 10) AS INTEGER) AS score FROM cand c JOIN ev ON c.idx = ev.idx AND c.pos = ev.pos WHERE name NOT IN ('NULL', 'nullptr', '')),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY idx, pos ORDER BY score DESC, length(name), name) AS r FROM scored),
+    best AS (SELECT ev.idx, ev.pos, coalesce(list(name ORDER BY r) FILTER (WHERE r <= CASE WHEN kind IN ('INDEX', 'BRANCH') OR tag IN ({_list(['SINK', *V.CATEGORIES])}) THEN 5 WHEN len(keys) >= 2 THEN 4 ELSE 3 END), []) AS top,
+        coalesce(list(name) FILTER (WHERE name IS NOT NULL), []) AS near, any_value(uses) AS uses FROM ev LEFT JOIN ranked ON ev.idx = ranked.idx AND ev.pos = ranked.pos GROUP BY ev.idx, ev.pos),
+    filled AS (SELECT idx, pos, list_concat(top, list_sort(list_filter(uses, lambda x: NOT list_contains(near, x)))[1:greatest(0, 3 - len(top))]) AS names FROM best),
+    flat AS (SELECT idx, pos, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS rank FROM filled)
+    SELECT flat.idx, pos, CAST(rank AS INTEGER) AS rank, flat.name || CASE WHEN rank <= 3 AND line IS NOT NULL THEN '@' || line ELSE '' END AS name FROM flat LEFT JOIN df ON flat.idx = df.idx AND flat.name = df.name"""

@@ -206,6 +206,11 @@ def raw_events(pieces: DataFrame, key: str, most: int = 120) -> DataFrame:
     return every.withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy("at", "sub")) - 1).drop("at", "sub")
 
 
+def most_names() -> Column:
+    """How many names an event shows at most."""
+    return F.when((F.col("tag") == "SINK") | F.col("kind").isin("INDEX", "BRANCH") | F.col("tag").isin(*V.CATEGORIES), 5).when(F.size("keys") >= 2, 4).otherwise(3)
+
+
 def named_events(df: DataFrame, key: str, code: str) -> tuple[DataFrame, DataFrame]:
     """``(key, status)`` of each code and its events, runs of calls as one, with the names that each shows as uses.
 
@@ -218,9 +223,8 @@ def named_events(df: DataFrame, key: str, code: str) -> tuple[DataFrame, DataFra
     state = pieces.groupBy("_id").agg(F.max("unread").alias("unread"))
     status = rows.select("_id").join(state, "_id", "left").select(F.col("_id").alias(key), F.when(F.col("unread") > MOST_ERRORS, "failed").otherwise("read").alias("status"))
     events = V.compressed(raw, "_id", sets=("defs", "uses", "keys")).join(V.definitions(raw, "_id"), "_id", "left").withColumnRenamed("_id", key)
-    most = F.when((F.col("tag") == "SINK") | F.col("kind").isin("INDEX", "BRANCH") | F.col("tag").isin(*V.CATEGORIES), 5).when(F.size("keys") >= 2, 4).otherwise(3)
     known = F.coalesce("known", F.create_map().cast("map<string,struct<line:int,uses:array<string>>>"))
-    return status, events.withColumn("known", known).withColumn("uses", V.key_names(F.col("keys"), F.col("defs"), F.col("uses"), F.col("known"), most))
+    return status, events.withColumn("known", known).withColumn("uses", V.key_names(F.col("keys"), F.col("defs"), F.col("uses"), F.col("known"), most_names()))
 
 
 def generated(df: DataFrame, key: str, code: str, most_events: int = 220) -> DataFrame:
