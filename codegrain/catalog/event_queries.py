@@ -11,9 +11,12 @@ from codegrain.operators import statements as S
 from codegrain.sources.tables import latest, read_table
 
 
+def _rows(spark, sf_dir):
+    return latest(read_table(spark, sf_dir, "primevul_train", "idx", "vulnir", "ingested_at", spread_by="idx"), "idx", "ingested_at")
+
+
 def _events(spark, sf_dir):
-    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "vulnir", "ingested_at", spread_by="idx"), "idx", "ingested_at")
-    return V.event_table(rows, "idx", "vulnir")
+    return V.event_table(_rows(spark, sf_dir), "idx", "vulnir")
 
 
 def event_parse(spark, sf_dir):
@@ -35,8 +38,8 @@ def sink_roles(spark, sf_dir):
 
 
 def run_length_calls(spark, sf_dir):
-    runs = V.compressed(_events(spark, sf_dir), "idx", 2)
-    return runs.where("calls > 1").select("idx", "pos", "line", "text", "calls", F.array_join("uses", ",").alias("uses"))
+    runs = _rows(spark, sf_dir).select("idx", F.explode(V.runs(V.parsed(F.col("vulnir")), 2)).alias("e")).select("idx", "e.*")
+    return runs.where("calls > 1").select("idx", "pos", "line", "text", F.col("calls").cast("long").alias("calls"), F.array_join("uses", ",").alias("uses"))
 
 
 def last_definitions(spark, sf_dir):
@@ -45,10 +48,9 @@ def last_definitions(spark, sf_dir):
 
 def closure2(spark, sf_dir):
     """How many names each event's uses lead to within two steps."""
-    events = _events(spark, sf_dir)
-    edges, _ = V.dependencies(events, "idx")
-    seeds = events.select("idx", "pos", F.explode("uses").alias("name"))
-    return V.closure(seeds, edges, "idx").groupBy("idx", "pos").agg(F.count("*").alias("names"))
+    rows = _rows(spark, sf_dir).select("idx", V.parsed(F.col("vulnir")).alias("events"))
+    reached = V.reached(F.col("events"), lambda e: e["uses"])
+    return rows.select("idx", F.explode(reached).alias("e")).select("idx", "e.pos", F.size("e.names").cast("long").alias("names")).where("names > 0")
 
 
 def topk_vars(spark, sf_dir):
@@ -65,7 +67,7 @@ def event_limit(spark, sf_dir):
 
 
 def render_ir(spark, sf_dir):
-    return V.rendered(_events(spark, sf_dir), "idx", 12)
+    return _rows(spark, sf_dir).select("idx", V.rewritten(V.parsed(F.col("vulnir")), 12).alias("ir")).where("ir is not null")
 
 
 def event_limit_production(spark, sf_dir):
@@ -75,7 +77,7 @@ def event_limit_production(spark, sf_dir):
 
 
 def render_ir_production(spark, sf_dir):
-    return V.rendered(_events(spark, sf_dir), "idx")
+    return _rows(spark, sf_dir).select("idx", V.rewritten(V.parsed(F.col("vulnir"))).alias("ir")).where("ir is not null")
 
 
 def extract_ir(spark, sf_dir):
@@ -97,7 +99,14 @@ def ir_changes(spark, sf_dir):
     return S.changes(rows, "idx", "func", "vulnir", "project")
 
 
-QUERIES = {f.__name__: f for f in (event_parse, api_category_join, sink_roles, run_length_calls, last_definitions, closure2, topk_vars, event_limit, render_ir, event_limit_production, render_ir_production, extract_ir, key_vars, ir_changes)}
+def event_rewrites(spark, sf_dir):
+    """Stored event texts read and written anew within the limit: per project how many there are, differ then and had failed."""
+    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "vulnir", "project", "ingested_at", spread_by="idx"), "idx", "ingested_at").where("vulnir is not null")
+    new = F.coalesce(V.rewritten(V.parsed(F.col("vulnir"))), F.when(F.col("vulnir") == V.FAILED, V.FAILED).otherwise(V.EMPTY))
+    return V.changed(rows.withColumn("new", new), "vulnir", "new", "project")
+
+
+QUERIES = {f.__name__: f for f in (event_rewrites, event_parse, api_category_join, sink_roles, run_length_calls, last_definitions, closure2, topk_vars, event_limit, render_ir, event_limit_production, render_ir_production, extract_ir, key_vars, ir_changes)}
 
 EVENTS = r"""r AS (SELECT DISTINCT idx, vulnir FROM primevul_train WHERE vulnir IS NOT NULL AND vulnir NOT IN ('VULNIR_EMPTY', 'VULNIR_PARSE_FAILED')),
     s AS (SELECT idx, list_filter(string_split(replace(vulnir, ' | [Line ', chr(1) || '[Line '), chr(1)), lambda e: regexp_matches(e, '^\[Line \d+\] [A-Z_]+(\[[A-Z_]+\])?: ')) AS es FROM r),
@@ -141,3 +150,7 @@ ORACLES = {
         FROM w WHERE k <= 12 GROUP BY idx""",
 }
 ORACLES |= {f"{name}_production": re.sub(r"\b12\b", "220", ORACLES[name]) for name in ("event_limit", "render_ir")}
+ORACLES["event_rewrites"] = f"""{ORACLES["render_ir_production"]}""".replace("SELECT idx, string_agg(", ", o AS (SELECT idx, string_agg(", 1) + """),
+    p AS (SELECT DISTINCT idx, vulnir, project FROM primevul_train WHERE vulnir IS NOT NULL)
+    SELECT project, count(*) AS total, count(*) FILTER (WHERE vulnir <> coalesce(ir, CASE WHEN vulnir = 'VULNIR_PARSE_FAILED' THEN 'VULNIR_PARSE_FAILED' ELSE 'VULNIR_EMPTY' END)) AS updated,
+        count(*) FILTER (WHERE ir IS NULL AND vulnir = 'VULNIR_PARSE_FAILED') AS failed FROM p LEFT JOIN o ON p.idx = o.idx GROUP BY project"""

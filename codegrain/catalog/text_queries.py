@@ -101,6 +101,29 @@ def messages_chain(spark, sf_dir):
     return ready.select("pair_id", F.posexplode(turns).alias("turn", "text")).groupBy("pair_id", "turn").agg(F.max(F.length("text")).alias("chars"))
 
 
+def _replies(spark, sf_dir) -> DataFrame:
+    """Replies written from the answers, of which some are cut, some lack a field, some hold a number and some are no objects."""
+    rows = read_table(spark, sf_dir, "train_llama_paired", "pair_id", "root_cause", "safety_justification", "enriched_at")
+    a, b = F.coalesce("root_cause", F.lit("")), F.coalesce("safety_justification", F.lit(""))
+    whole = F.to_json(F.struct(a.alias("root_cause"), b.alias("safety_justification")))
+    k = F.col("pair_id")
+    reply = (F.when(k % 5 == 0, F.left(whole, F.length(whole) - 3)).when(k % 7 == 0, F.to_json(F.struct(a.alias("root_cause")))).when(k % 11 == 0, F.to_json(F.struct(F.col("pair_id").alias("root_cause"), b.alias("safety_justification"))))
+             .when(k % 13 == 0, "[1]").when(k % 17 == 0, F.lit(None).cast("string")).otherwise(whole))
+    return rows.withColumn("reply", reply)
+
+
+def reply_checked(spark, sf_dir):
+    """Whether each reply is what its schema asks for, and what comes of it."""
+    s = E.synthesis(F.col("reply"), F.lit("second reply"), F.lit("third reply"))
+    return _replies(spark, sf_dir).select("pair_id", "enriched_at", E.checked_reply(F.col("reply")).alias("valid"), s.alias("s")).select("pair_id", "enriched_at", "valid", "s.*")
+
+
+def turn_texts(spark, sf_dir):
+    """The requests of each conversation, whole."""
+    ready = E.within_budget(read_table(spark, sf_dir, "train_aug_paired")).withColumn("d", E.description(F.col("cve_desc"), F.col("cwe")))
+    return ready.select("pair_id", "ingested_at", F.posexplode(F.array(*E.turns("func_before", "func_after", "cve", "d"))).alias("turn", "text"))
+
+
 QUERIES = {
     "approx_tokens": _text_query("primevul_train", "idx", "func", "tokens", X.estimated_tokens),
     "head_tail_truncate": _text_query("primevul_train", "idx", "func", "code", lambda c: X.truncate_middle(c, 300)),
@@ -110,7 +133,7 @@ QUERIES = {
     "verdict_extract": _text_query("documents", "doc_id", "text", "verdict", X.verdict),
     "verdict_substring": _text_query("documents", "doc_id", "text", "verdict", X.verdict_by_substring),
     "dirty_target": _text_query("primevul_train", "idx", "target", "label", X.number_of_dirty),
-    **{f.__name__: f for f in (pair_budget_gate, resume_anti, resume_skipped_semi, resume_dup_kept, fingerprint, cwe_join, cve_defaults, change_detect, lenient_scan_counts, callees, metric_log_parse, json_reply_parse, enrich_stats, messages_chain)},
+    **{f.__name__: f for f in (pair_budget_gate, resume_anti, resume_skipped_semi, resume_dup_kept, fingerprint, cwe_join, cve_defaults, change_detect, lenient_scan_counts, callees, metric_log_parse, json_reply_parse, enrich_stats, messages_chain, reply_checked, turn_texts)},
 }
 
 FP = "md5(coalesce(cve, '') || '|' || coalesce(func_before, ''))"
@@ -156,3 +179,13 @@ ORACLES = {
         UNION ALL SELECT pair_id, 2, 47 FROM t UNION ALL SELECT pair_id, 3, 61 FROM t)
         SELECT pair_id, CAST(turn AS INTEGER) AS turn, CAST(max(chars) AS INTEGER) AS chars FROM u GROUP BY pair_id, turn""",
 }
+
+ORACLES["turn_texts"] = f"""WITH t AS (SELECT pair_id, ingested_at, coalesce({PAIR_CUT['func_before']}, '') AS b, coalesce({PAIR_CUT['func_after']}, '') AS a, coalesce(cve, 'Unknown CVE') AS c, {DESC} AS d FROM train_aug_paired)
+    SELECT pair_id, ingested_at, 0 AS turn, 'Compare the code before the fix:' || chr(10) || b || chr(10) || 'with that after it:' || chr(10) || a || chr(10) || 'Name what was added or changed.' AS text FROM t
+    UNION ALL SELECT pair_id, ingested_at, 1, 'Context: ' || c || ' - ' || d || chr(10) || 'Explain the root cause in 30 to 100 words.' FROM t
+    UNION ALL SELECT pair_id, ingested_at, 2, 'Explain in 30 to 100 words why the fix is safe.' FROM t
+    UNION ALL SELECT pair_id, ingested_at, 3, 'Put root_cause and safety_justification into one JSON object.' FROM t"""
+ORACLES["reply_checked"] = """WITH t AS (SELECT pair_id, enriched_at, coalesce(root_cause, '') AS a, coalesce(safety_justification, '') AS b FROM train_llama_paired),
+    k AS (SELECT *, CASE WHEN pair_id % 5 = 0 THEN 'cut' WHEN pair_id % 7 = 0 THEN 'short' WHEN pair_id % 11 = 0 THEN 'number' WHEN pair_id % 13 = 0 OR pair_id % 17 = 0 THEN 'none' ELSE 'whole' END AS kind FROM t)
+    SELECT pair_id, enriched_at, kind = 'whole' AS valid, CASE WHEN kind IN ('cut', 'none') THEN '[Analysis Failed]' WHEN kind = 'number' THEN CAST(pair_id AS VARCHAR) ELSE a END AS root_cause,
+        CASE WHEN kind IN ('cut', 'none') THEN '[Analysis Failed]' WHEN kind = 'short' THEN 'third reply' ELSE b END AS safety_justification, CASE WHEN kind IN ('cut', 'none') THEN 'FAIL' ELSE 'HIGH_MULTITURN' END AS quality_tag FROM k"""

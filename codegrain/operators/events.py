@@ -5,6 +5,8 @@ A rendered event reads ``[Line n] KIND[TAG]: text D{defs} U{uses}``; events are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,7 +76,7 @@ def compressed(events: DataFrame, key: str, least: int = 3, sets: tuple[str, ...
     in the columns ``sets`` are united. Shorter runs stay as they are.
     """
     w = W.partitionBy(key).orderBy("pos")
-    name = F.when(F.col("kind") == "CALL", callee(F.col("text"))).otherwise(F.lit(None))
+    name = F.when(F.col("kind") == "CALL", F.nullif(callee(F.col("text")), F.lit("")))
     marked = events.withColumn("_callee", name).withColumn("_new", F.when(F.col("_callee").isNotNull() & (F.lag("_callee").over(w) == F.col("_callee")), 0).otherwise(1))
     island = marked.withColumn("_island", F.sum("_new").over(w))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
@@ -150,3 +152,71 @@ def rendered(events: DataFrame, key: str, most: int = 220) -> DataFrame:
     all_ = F.sort_array(F.collect_list(F.struct("_at", text.alias("text"))))
     shown = ordered.groupBy(key).agg(all_.alias("all")).withColumn("shown", F.transform(F.slice("all", 1, most), lambda e: e["text"]))
     return shown.select(key, F.array_join(F.when(F.size("all") > most, F.concat("shown", F.array(F.lit(CUT)))).otherwise(F.col("shown")), " | ").alias("ir"))
+
+
+# The same within a row: for events that are an array of their record, nothing is shuffled.
+
+
+def last_known(events: Column) -> Column:
+    """A map from each name to the line and the uses of its last definition in an array of events."""
+    entries = F.flatten(F.transform(events, lambda e: F.transform(e["defs"], lambda n: F.struct(n.alias("key"), F.struct(e["line"].alias("line"), e["uses"].alias("uses")).alias("value")))))
+    last = lambda es: F.filter(es, lambda x, i: ~F.exists(F.slice(es, i + 2, F.greatest(F.size(es) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(let(entries, last))
+
+
+def reached(events: Column, seeds: Callable[[Column], Column], depth: int = 2) -> Column:
+    """array<struct<pos,names>>: for each event its seeds and what they depend on within ``depth`` steps."""
+    none = F.array().cast("array<string>")
+
+    def of(x: Column) -> Column:
+        leads = lambda names: F.flatten(F.transform(names, lambda n: F.coalesce(F.try_element_at(x["known"], n)["uses"], none)))
+
+        def near(names: Column, step: int) -> Column:
+            return names if not step else let(names, lambda y: F.array_distinct(F.concat(y, near(F.array_distinct(leads(y)), step - 1))))
+
+        return F.transform(x["events"], lambda e: F.struct(e["pos"].alias("pos"), near(F.array_distinct(seeds(e)), depth).alias("names")))
+
+    return let(F.struct(events.alias("events"), last_known(events).alias("known")), of)
+
+
+def runs(events: Column, least: int = 3) -> Column:
+    """The events of a record with runs of ``least`` or more consecutive calls of one callee as one, and ``calls``, how many one stands for."""
+    name = lambda e: F.when(e["kind"] == "CALL", F.nullif(callee(e["text"]), F.lit("")))
+    named = F.transform(events, lambda e: F.struct(e.alias("e"), name(e).alias("callee")))
+
+    def begun(x: Column) -> Column:
+        before = lambda i: F.try_element_at(x, F.greatest(i, F.lit(1)))["callee"]
+        return F.transform(x, lambda y, i: F.struct(y["e"].alias("e"), y["callee"].alias("callee"), (y["callee"].isNull() | (i == 0) | ~before(i).eqNullSafe(y["callee"])).alias("first")))
+
+    def grouped(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda y, i: F.when(y["first"], i)), lambda i: i.isNotNull())
+        cut = lambda s: F.transform(s, lambda a, k: F.slice(x, a + 1, F.coalesce(F.try_element_at(s, k + 2), F.size(x)) - a))
+        return let(starts, cut)
+
+    def put(run: Column) -> Column:
+        united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.transform(run, lambda y: y["e"][c]))))
+        first = F.element_at(run, 1)["e"]
+        text = lambda defs: F.concat(F.element_at(run, 1)["callee"], F.lit("(...) ×"), F.size(run).cast("string"), F.when(F.size(defs) > 0, F.concat(F.lit(" -> "), F.array_join(defs, ", "))).otherwise(""))
+        made = F.struct(first["pos"].alias("pos"), first["line"].alias("line"), first["kind"].alias("kind"), first["tag"].alias("tag"), text(united("defs")).alias("text"), united("defs").alias("defs"), united("uses").alias("uses"), F.size(run).alias("calls"))
+        alone = F.transform(run, lambda y: F.struct(*[y["e"][c].alias(c) for c in ("pos", "line", "kind", "tag", "text", "defs", "uses")], F.lit(1).alias("calls")))
+        return F.when((F.size(run) >= least) & (F.size(run) > 1), F.array(made)).otherwise(alone)
+
+    return F.flatten(F.transform(let(let(named, begun), grouped), put))
+
+
+def _written(e: Column) -> Column:
+    """One event as text."""
+    tag = F.when((e["tag"] != "") & ~e["tag"].isin(*HIDDEN_TAGS), F.concat(F.lit("["), e["tag"], F.lit("]"))).otherwise("")
+    listed = lambda c, mark: F.when(F.size(c) > 0, F.concat(F.lit(f" {mark}{{"), F.array_join(c, ","), F.lit("}"))).otherwise("")
+    return F.concat(F.lit("[Line "), e["line"].cast("string"), F.lit("] "), e["kind"], tag, F.lit(": "), e["text"], listed(e["defs"], "D"), listed(e["uses"], "U"))
+
+
+def rewritten(events: Column, most: int = 220) -> Column:
+    """An array of events as text: the first ``most`` and a mark if there were more; null without events."""
+    told = lambda es: F.transform(F.slice(es, 1, most), _written)
+    return let(events, lambda es: F.when(F.size(es) > 0, F.array_join(F.when(F.size(es) > most, F.concat(told(es), F.array(F.lit(CUT)))).otherwise(told(es)), " | ")))
+
+
+def changed(df: DataFrame, old: str, new: str, *by: str) -> DataFrame:
+    """Per group how many event texts there are, differ from the old ones, nulls being equal, and fail."""
+    return df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(~F.col(old).eqNullSafe(F.col(new))).alias("updated"), F.count_if(F.col(new) == FAILED).alias("failed"))

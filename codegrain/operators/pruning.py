@@ -95,23 +95,37 @@ def prune_ir(ir: Column, limit: int) -> Column:
 PIECE = re.compile(P.PATTERN)
 
 
+BLANKS = " \t\r\n"
+
+
 def fit(all_lines: list[str], critical: list[int], limit: int, window: int, head: int, tail: int, density: float = 0.6) -> str | None:
     """The lines around the anchors under the widest window that fits, None if none does.
 
     Where they fill less than ``density`` of the budget, lines at even distances are added,
-    one for eight tokens that are missing.
+    one for eight tokens that are missing. Pieces are counted once for each line: a text has those
+    of its lines without the blanks before them, and one for each run of blanks between and around.
     """
     n = len(all_lines)
     trimmed = [s.rstrip() for s in all_lines]
+    counts = [len(PIECE.findall(s.strip(BLANKS))) for s in trimmed]
+    gap = len(PIECE.findall(CODE_GAP))
 
-    def render(chosen: set[int]) -> str:
-        out, last = [], None
+    def shown(chosen: set[int]) -> list[int | None]:
+        """The chosen lines in their order, None for a gap."""
+        out: list[int | None] = []
         for i in sorted(chosen):
-            if last is not None and i > last + 1:
-                out.append(CODE_GAP)
-            out.append(trimmed[i])
-            last = i
-        return "\n".join(out)
+            if out and i > out[-1] + 1:
+                out.append(None)
+            out.append(i)
+        return out
+
+    def size(lines: list[int | None]) -> int:
+        inner = [k for k, i in enumerate(lines) if i is None or counts[i]]
+        if not inner:
+            return int(len(lines) > 1 or any(trimmed[i] for i in lines))
+        first = lines[inner[0]]
+        blank_before = inner[0] > 0 or first is not None and trimmed[first][0] in BLANKS
+        return sum(gap if lines[k] is None else counts[lines[k]] for k in inner) + len(inner) - 1 + blank_before + (inner[-1] < len(lines) - 1)
 
     least = int(limit * density)
     known = [a - 1 for a in critical if a <= n]
@@ -119,13 +133,13 @@ def fit(all_lines: list[str], critical: list[int], limit: int, window: int, head
         chosen = {*range(min(head, n)), *range(max(0, n - tail), n)}
         for a in known:
             chosen.update(range(max(0, a - w), min(n, a + w + 1)))
-        text = render(chosen)
-        size = len(PIECE.findall(text))
-        if size < least and (more := min(n, (least - size) // 8)) > 0:
-            text = render(chosen.union(range(0, n, max(1, n // more))))
-            size = len(PIECE.findall(text))
-        if size <= limit:
-            return text
+        lines = shown(chosen)
+        pieces = size(lines)
+        if pieces < least and (more := min(n, (least - pieces) // 8)) > 0:
+            lines = shown(chosen.union(range(0, n, max(1, n // more))))
+            pieces = size(lines)
+        if pieces <= limit:
+            return "\n".join(CODE_GAP if i is None else trimmed[i] for i in lines)
     return None
 
 

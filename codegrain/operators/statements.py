@@ -239,4 +239,4 @@ def changes(df: DataFrame, key: str, code: str, old: str, *by: str) -> DataFrame
     """Per group of ``by`` how many event texts there are, differ from ``old`` when made anew, and fail."""
     named = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
     made = named.join(generated(named, "_key", code), "_key")
-    return made.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(~F.col(old).eqNullSafe(F.col("ir"))).alias("updated"), F.count_if(F.col("ir") == V.FAILED).alias("failed"))
+    return V.changed(made, old, "ir", *by)

@@ -57,3 +57,26 @@ def test_ir_prune(spark):
     ir = "\n".join(f"[Line {i}] CALL: memcpy(a{i})" for i in range(50))
     row = spark.createDataFrame([(ir, "")], "a string, b string").select(R.prune_ir(F.col("a"), 60), R.prune_ir(F.col("b"), 60), R.prune_ir(F.col("a"), 5000)).first()
     assert row[0].count("# ...") == 2 and row[1] == "" and row[2] == ir
+
+
+def test_pieces_of_lines_add_up():
+    """Every text that fits has as many pieces as were counted line by line, and the widest window that fits is taken."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        lines = [rng.choice(["", "  ", "\t\tx = f(a, b);", "}", "int y;   ", "\x0c z", "  " + "w " * rng.randrange(9)]) for _ in range(rng.randrange(1, 40))]
+        anchors = [rng.randrange(1, 45) for _ in range(rng.randrange(1, 4))]
+        limit = rng.randrange(1, 120)
+        found = R.fit(lines, anchors, limit, 4, 2, 2)
+        sizes = {}
+        for w in range(4, -1, -1):
+            wide = R.fit(lines, anchors, 10**6, w, 2, 2, density=0.0)
+            sizes[w] = len(R.PIECE.findall(wide))
+        plain = next((w for w in range(4, -1, -1) if sizes[w] <= limit), None)
+        if found is None:
+            assert plain is None or sizes[plain] < int(limit * 0.6)
+        else:
+            assert len(R.PIECE.findall(found)) <= limit
+            if plain is not None and all(sizes[w] >= int(limit * 0.6) for w in sizes):
+                assert found == R.fit(lines, anchors, 10**6, plain, 2, 2, density=0.0)

@@ -113,3 +113,25 @@ def test_changes(spark):
     rows = [(1, "p", same, "[Line 1] RET: return"), (2, "p", same, "[Line 9] RET: return"), (3, "p", same, None), (None, "p", same, "[Line 1] RET: return"), (4, "q", "{" + "x = = 3;" * 200 + "}", V.FAILED), (5, "q", None, V.EMPTY)]
     df = spark.createDataFrame(rows, "k long, project string, code string, old string")
     assert {tuple(r) for r in ir.changes(df, "k", "code", "old", "project").collect()} == {("p", 4, 2, 0), ("q", 2, 0, 1)}
+
+
+def test_within_a_row_as_over_rows(spark):
+    """Closures, runs and rendering of arrays give what the operators on rows give."""
+    import random
+
+    rng = random.Random(1)
+    schema = "k int, events array<struct<pos:int,line:int,kind:string,tag:string,text:string,defs:array<string>,uses:array<string>>>"
+    some = lambda: rng.sample("abcdef", rng.randrange(3))
+    rows = [(k, [(p, p + 1, rng.choice(["CALL", "SET"]), rng.choice(["", "DF", "FREE"]), rng.choice(["f(x)", "g(x)", "a = b"]), some(), some()) for p in range(rng.randrange(12))]) for k in range(60)]
+    df = spark.createDataFrame(rows, schema)
+    flat = df.select("k", F.explode("events").alias("e")).select("k", "e.*")
+    edges, _ = V.dependencies(flat, "k")
+    over = {(r.k, r.pos, r.name) for r in V.closure(flat.select("k", "pos", F.explode("uses").alias("name")), edges, "k").collect()}
+    within = df.select("k", F.explode(V.reached(F.col("events"), lambda e: e["uses"])).alias("r")).select("k", "r.pos", F.explode("r.names").alias("name")).collect()
+    assert {tuple(r) for r in within} == over and len(within) == len(over)
+    for least in (2, 3):
+        one = {(r.k, r.pos, r.line, r.kind, r.text, tuple(r.uses), r.calls) for r in V.compressed(flat, "k", least).collect()}
+        two = {(r.k, r.pos, r.line, r.kind, r.text, tuple(r.uses), r.calls) for r in df.select("k", F.explode(V.runs(F.col("events"), least)).alias("e")).select("k", "e.*").collect()}
+        assert one == two
+    for most in (3, 220):
+        assert {(r.k, r.ir) for r in V.rendered(flat, "k", most).collect()} == {(r.k, r.ir) for r in df.select("k", V.rewritten(F.col("events"), most).alias("ir")).where("ir is not null").collect()}
