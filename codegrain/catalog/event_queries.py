@@ -117,7 +117,7 @@ EVENTS = r"""r AS (SELECT DISTINCT idx, vulnir FROM primevul_train WHERE vulnir
         regexp_extract(e, ' D\{([^{}]*)\}( U\{[^{}]*\})?$', 1) AS defs, regexp_replace(regexp_extract(e, ' U\{([^{}]*)\}$', 1), '@\d+(,|$)', '\1', 'g') AS uses FROM u)"""
 EDGES = """d AS (SELECT idx, pos, line, uses, unnest(string_split(defs, ',')) AS name FROM v WHERE defs <> ''),
     f AS (SELECT *, row_number() OVER (PARTITION BY idx, name ORDER BY pos DESC) AS k FROM d)"""
-CATEGORY = " ".join(f"WHEN regexp_extract(text, '^([A-Za-z_][A-Za-z0-9_]*)\\(', 1) IN ({', '.join(repr(n) for n in names.split())}) THEN '{c}'" for c, names in V.CATEGORIES.items())
+CATEGORY = " ".join(f"WHEN regexp_extract(text, '^([A-Za-z_][A-Za-z0-9_]*)\\(', 1) IN ({', '.join(repr(n) for n in names)}) THEN '{c}'" for c, names in V.CATEGORIES.items())
 ORACLES = {
     "event_parse": f"WITH {EVENTS} SELECT * FROM v",
     "api_category_join": f"""WITH {EVENTS} SELECT CASE {CATEGORY} ELSE '' END AS category, count(*) AS calls, count(DISTINCT regexp_extract(text, '^([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS callees

@@ -130,7 +130,20 @@ def pad_arrays(spark, sf_dir):
     return padded.select("idx", told("input_ids"), told("labels"), told("attention_mask"))
 
 
-QUERIES = {f.__name__: f for f in (labels_by_record, tasks_by_record, pack_arrays, pad_arrays, label_mapping, task_mixture, prompts, fused_output, build_examples, pack_labels, pad_batch, pack_labels_production, pad_batch_production, reservoir_stats, autotune_window, binary_metrics, metrics_by_checkpoint, best_checkpoint, confusion, logprob_choice)}
+def label_choice(spark, sf_dir):
+    """Each record's choice by two models' log-probabilities of both labels: their shares in its project and in its kind of file."""
+    rows = latest(read_table(spark, sf_dir, "primevul_train", "idx", "target", "project", "file_path", "ingested_at", spread_by="idx"), "idx", "ingested_at")
+    rows = rows.select("idx", F.coalesce("project", F.lit("")).alias("project"), F.regexp_extract("file_path", r"\.(\w+)$", 1).alias("kind"), F.coalesce(X.number_of_dirty(F.col("target")), F.lit(0)).alias("label"))
+    for by in ("project", "kind"):
+        n = rows.groupBy(by).agg(F.count("*").alias(f"{by}_n"), F.count_if(F.col("label") == 1).alias(f"{by}_v"))
+        rows = rows.join(F.broadcast(n) if by == "kind" else n, by)
+    score = lambda v, n: F.ln((v + 1) / (n + 2))
+    hits = [score(F.col(f"{by}_v"), F.col(f"{by}_n")) for by in ("project", "kind")]
+    misses = [score(F.col(f"{by}_n") - F.col(f"{by}_v"), F.col(f"{by}_n")) for by in ("project", "kind")]
+    return rows.select("idx", M.preferred(hits, misses).alias("choice"))
+
+
+QUERIES = {f.__name__: f for f in (label_choice, labels_by_record, tasks_by_record, pack_arrays, pad_arrays, label_mapping, task_mixture, prompts, fused_output, build_examples, pack_labels, pad_batch, pack_labels_production, pad_batch_production, reservoir_stats, autotune_window, binary_metrics, metrics_by_checkpoint, best_checkpoint, confusion, logprob_choice)}
 
 NUMBER = r"""CAST(trunc(TRY_CAST(regexp_replace(target, '["\s]', '', 'g') AS DOUBLE)) AS INTEGER)"""
 TRAIN = f"t AS (SELECT DISTINCT idx, func, vulnir, project, {NUMBER} AS target, coalesce({NUMBER}, 0) AS label FROM primevul_train)"
@@ -177,6 +190,10 @@ ORACLES = {
 ORACLES |= {f"{name}_production": re.sub(r"\b(300|400)\b", "6144", ORACLES[name]) for name in ("pack_labels", "pad_batch")}
 
 DRAWN = "((idx * 7919 + 104729 + {0} * 15485863) % 1000) / 1000.0"
+ORACLES["label_choice"] = f"""WITH t AS (SELECT DISTINCT idx, coalesce(project, '') AS project, regexp_extract(file_path, '\\.(\\w+)$', 1) AS kind, coalesce({NUMBER}, 0) AS label FROM primevul_train),
+    p AS (SELECT project, count(*) AS n, count(*) FILTER (WHERE label = 1) AS v FROM t GROUP BY project), k AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE label = 1) AS v FROM t GROUP BY kind)
+    SELECT idx, CASE WHEN greatest(ln((p.v + 1) / (p.n + 2)::DOUBLE), ln((k.v + 1) / (k.n + 2)::DOUBLE)) > greatest(ln((p.n - p.v + 1) / (p.n + 2)::DOUBLE), ln((k.n - k.v + 1) / (k.n + 2)::DOUBLE)) THEN 1 ELSE 0 END AS choice
+    FROM t JOIN p ON t.project = p.project JOIN k ON t.kind = k.kind"""
 ORACLES["labels_by_record"] = f"WITH {TRAIN} SELECT idx, {LABEL} AS label FROM t"
 ORACLES["tasks_by_record"] = f"WITH {TRAIN}, r AS (" + " UNION ALL ".join(f"SELECT idx, {e} AS epoch, {DRAWN.format(e)} AS r FROM t" for e in (0, 1)) + """)
     SELECT idx, 'aux_pretrain' AS stage, epoch, CASE WHEN r < 0.5 THEN 'task_c' ELSE 'task_b' END AS task FROM r UNION ALL SELECT idx, 'task1_finetune', epoch, 'task_a' FROM r

@@ -18,21 +18,20 @@ HIDDEN_TAGS = ("DF", "CTRL", "GUARD")
 
 # Callees by category, and the argument positions that matter for a category.
 CATEGORIES = {
-    "MEMCPY": "memcpy memmove bcopy mempcpy",
-    "STRCPY": "strcpy stpcpy strncpy strcat strncat strlcpy strlcat",
-    "FORMAT": "sprintf snprintf vsprintf vsnprintf asprintf vasprintf printf fprintf vprintf vfprintf",
-    "READ": "read pread recv recvfrom fread gets fgets getline",
-    "ALLOC": "malloc calloc realloc aligned_alloc new kmalloc kzalloc vmalloc strdup strndup",
-    "FREE": "free kfree vfree delete",
-    "FILE": "open fopen freopen close fclose write pwrite send sendto fwrite",
-    "EXEC": "system popen execve execl execlp execv execvp",
-    "ENV": "getenv setenv putenv unsetenv",
-    "PARSE": "atoi atol atoll strtol strtoll strtoul strtoull sscanf scanf fscanf",
-    "CRYPTO": "memcmp EVP_DigestVerifyInit EVP_DigestVerifyFinal",
+    "MEMCPY": ["memcpy", "memmove", "bcopy", "mempcpy"],
+    "STRCPY": ["strcpy", "stpcpy", "strncpy", "strcat", "strncat", "strlcpy", "strlcat"],
+    "FORMAT": ["sprintf", "snprintf", "vsprintf", "vsnprintf", "asprintf", "vasprintf", "printf", "fprintf", "vprintf", "vfprintf"],
+    "READ": ["read", "pread", "recv", "recvfrom", "fread", "gets", "fgets", "getline"],
+    "ALLOC": ["malloc", "calloc", "realloc", "aligned_alloc", "new", "kmalloc", "kzalloc", "vmalloc", "strdup", "strndup", "operator new", "operator new[]"],
+    "FREE": ["free", "kfree", "vfree", "delete", "operator delete", "operator delete[]"],
+    "FILE": ["open", "fopen", "freopen", "close", "fclose", "write", "pwrite", "send", "sendto", "fwrite"],
+    "EXEC": ["system", "popen", "execve", "execl", "execlp", "execv", "execvp"],
+    "ENV": ["getenv", "setenv", "putenv", "unsetenv"],
+    "PARSE": ["atoi", "atol", "atoll", "strtol", "strtoll", "strtoul", "strtoull", "sscanf", "scanf", "fscanf"],
+    "CRYPTO": ["memcmp", "EVP_DigestVerifyInit", "EVP_DigestVerifyFinal"],
 }
-OPERATOR_CALLEES = {"operator new": "ALLOC", "operator new[]": "ALLOC", "operator delete": "FREE", "operator delete[]": "FREE"}
 SINK_ARGUMENTS = {"MEMCPY": [0, 1, 2], "STRCPY": [0, 1, 2], "FORMAT": [0, 1], "READ": [0, 1, 2], "ALLOC": [0, 1], "FREE": [0], "FILE": [0, 1, 2], "EXEC": [0], "ENV": [0, 1], "PARSE": [0, 1]}
-CATEGORY_OF = {name: category for category, names in CATEGORIES.items() for name in names.split()} | OPERATOR_CALLEES
+CATEGORY_OF = {name: category for category, names in CATEGORIES.items() for name in names}
 
 
 def category(callee: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,14 +14,61 @@ from codegrain.operators import pruning
 
 END, MASK, BUFFER = "<|im_end|>", -100, 50  # fixed values
 
-# The system line, the request before the code, and whether the reference follows.
-EXPERT = "You are a security expert specialized in detecting vulnerabilities in code.\n"
+# The prompts by task; {input} stands for the code, {vulnir} for the reference.
 TEMPLATES = {
-    "task_a": (EXPERT, "Determine whether the following code is vulnerable.\nOnly answer with one word: Vulnerable or Safe.\n\n", False),
-    "task_a_cot": (EXPERT, "You are given a code snippet and a vulnerability reference.\nAnalyze if the code is vulnerable and explain briefly.\n"
-                   "Then output a strict verdict line: Verdict: Vulnerable or Verdict: Safe.\n\n", True),
-    "task_b": ("You are a security expert.\n", "Given the code below, identify the vulnerable line(s) and explain.\n\n", False),
-    "task_c": ("You are a security expert.\n", "Given the code below and a vulnerability reference, generate a vulnerability IR/trace.\n\n", True),
+    "task_a": """<|im_start|>system
+You are a security expert specialized in detecting vulnerabilities in code.
+<|im_end|>
+<|im_start|>user
+Determine whether the following code is vulnerable.
+Only answer with one word: Vulnerable or Safe.
+
+Input Code:
+{input}
+<|im_end|>
+<|im_start|>assistant
+""",
+    "task_a_cot": """<|im_start|>system
+You are a security expert specialized in detecting vulnerabilities in code.
+<|im_end|>
+<|im_start|>user
+You are given a code snippet and a vulnerability reference.
+Analyze if the code is vulnerable and explain briefly.
+Then output a strict verdict line: Verdict: Vulnerable or Verdict: Safe.
+
+Input Code:
+{input}
+
+Vulnerability Reference:
+{vulnir}
+<|im_end|>
+<|im_start|>assistant
+""",
+    "task_b": """<|im_start|>system
+You are a security expert.
+<|im_end|>
+<|im_start|>user
+Given the code below, identify the vulnerable line(s) and explain.
+
+Input Code:
+{input}
+<|im_end|>
+<|im_start|>assistant
+""",
+    "task_c": """<|im_start|>system
+You are a security expert.
+<|im_end|>
+<|im_start|>user
+Given the code below and a vulnerability reference, generate a vulnerability IR/trace.
+
+Input Code:
+{input}
+
+Vulnerability Reference:
+{vulnir}
+<|im_end|>
+<|im_start|>assistant
+""",
 }
 ANSWER_BUDGET = {"task_a_cot": 512, "task_b": 256, "task_c": 256}
 # Shares of the tasks by stage, as upper ends of the draw.
@@ -29,10 +77,7 @@ MIXTURES = {"aux_pretrain": [("task_c", 0.5), ("task_b", 1.0)], "task1_finetune"
 
 def around(task: str) -> list[str]:
     """The fixed parts of a prompt: before the code, between code and reference if there is one, after."""
-    system, request, reference = TEMPLATES[task]
-    head = f"<|im_start|>system\n{system}{END}\n<|im_start|>user\n{request}Input Code:\n"
-    tail = f"\n{END}\n<|im_start|>assistant\n"
-    return [head, "\n\nVulnerability Reference:\n", tail] if reference else [head, tail]
+    return re.split(r"\{input\}|\{vulnir\}", TEMPLATES[task])
 
 
 def prompt(task: str, code: Column, reference: Column) -> Column:
