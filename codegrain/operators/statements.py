@@ -66,8 +66,8 @@ def statements(df: DataFrame, key: str, code: str) -> DataFrame:
     rows = df.select(key, F.posexplode(F.filter(pieces, lambda p: ~p.rlike(r"^\s+$"))).alias("at", "piece"))
     order = W.partitionBy(key).orderBy("at")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    last_line = F.nullif(F.regexp_extract("piece", rf"(?s).*{MARK}", 1), F.lit("")).cast("int")
-    rows = rows.withColumn("line", F.last(last_line, ignorenulls=True).over(before)).where(~F.col("piece").rlike(rf"^{MARK}$"))
+    last_line = F.nullif(F.regexp_extract("piece", rf"(?s)^.*{MARK}", 1), F.lit("")).cast("int")
+    rows = rows.withColumn("mark", last_line).withColumn("line", F.last("mark", ignorenulls=True).over(before)).drop("mark").where(~F.col("piece").rlike(rf"^{MARK}$"))
     step = F.when(F.col("piece") == "{", 1).when(F.col("piece") == "}", -1).otherwise(0)
     depth = F.coalesce(F.sum(step).over(before), F.lit(0))
     rows = rows.withColumn("depth", depth).withColumn("opened", F.coalesce(F.count_if((F.col("piece") == "{") & (F.col("depth") <= 0)).over(before), F.lit(0)))
