@@ -113,28 +113,40 @@ def fillings(left: Left, room: int, waste: int, steps: list[int]) -> Iterator[li
             r |= r << s * min(k, n) & mask
             n, k = n - k, 2 * k
         sums.append(r)
-    chosen: list[int] = []
-
-    def exactly(target: int, top: int) -> Iterator[list[int]]:
+    def exactly(target: int) -> Iterator[list[int]]:
         if not target:
-            yield [d[j] for j in chosen]
+            yield []
             return
-        for j in range(min(top, bisect_right(d, target) - 1), -1, -1):
-            if not sums[j + 1] >> target & 1:
-                return
-            steps[0] -= 1
-            if steps[0] <= 0:
-                return
-            if count[j] and sums[j + 1] >> (target - d[j]) & 1:
+        chosen: list[int] = []  # one place a size: a filling may have more items than calls can be nested
+        j = bisect_right(d, target) - 1
+        while True:
+            while j >= 0 and sums[j + 1] >> target & 1:
+                steps[0] -= 1
+                if steps[0] <= 0:
+                    return
+                if count[j] and sums[j + 1] >> (target - d[j]) & 1:
+                    break
+                j -= 1
+            else:
+                j = -1
+            if j >= 0:
                 count[j] -= 1
                 chosen.append(j)
-                yield from exactly(target - d[j], j)
-                chosen.pop()
-                count[j] += 1
+                target -= d[j]
+                if target:
+                    j = min(j, bisect_right(d, target) - 1)
+                    continue
+                yield [d[i] for i in chosen]
+            if not chosen:
+                return
+            j = chosen.pop()
+            count[j] += 1
+            target += d[j]
+            j -= 1
 
     for w in range(min(waste, room) + 1):
         if sums[-1] >> (room - w) & 1:
-            for filling in exactly(room - w, len(d) - 1):
+            for filling in exactly(room - w):
                 if not dominated(filling, w, left):
                     yield filling
 

@@ -48,6 +48,12 @@ def test_search_improves_on_best_fit():
     assert better
 
 
+def test_fillings_of_more_items_than_calls_can_be_nested():
+    for sizes in ([1] * 3_000, [1] * 1_500 + [2] * 900):
+        bins, completed = p6.pack(sizes, 2048)
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and len(bins) == 2 and max(map(sum, bins)) <= 2048, completed
+
+
 def test_dominance():
     left = p6.Left([50, 30, 20, 10])
     assert p6.dominated([20, 10], 0, left) and p6.dominated([10, 10, 10], 0, p6.Left([30, 10, 10, 10])) and p6.dominated([7, 7, 7], 4, p6.Left([25, 7, 7, 7])) and not p6.dominated([7, 7, 7], 3, p6.Left([25, 7, 7, 7]))
