@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -126,7 +127,8 @@ However
 CODE = {"c": "code", "cpp": "code"}
 
 SPAN = re.compile(r"```.*?(?:```|$)|`[^`\n]*`?|\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|「[^」\n]{0,400}」", re.S)
-IDENTIFIER = re.compile(r"\w*(?:[a-z][A-Z]|[_\d])\w*|\w+\([^)\n]*\)|[\w.]*(?:->|::)\w*|\w*/[\w/.]*", re.A)
+# No match begins within a word, so none is looked for there.
+IDENTIFIER = re.compile(r"(?!\B\w)(?:\w*(?:[a-z][A-Z]|[_\d])\w*|\w+\([^)\n]*\)|[\w.]*(?:->|::)\w*|\w*/[\w/.]*)", re.A)
 SENTENCE = re.compile(r"[^.!?。！？\n]+")
 CLAUSE = re.compile(r"[^.!?。！？\n,;:]+")
 NOT_WORD = re.compile(r"[^\w']+")
@@ -184,6 +186,7 @@ def is_copy(answer: str, question: str, lead: int = 40, share: float = 0.9) -> b
     return lost + len(a) - end <= allowed
 
 
+@lru_cache(16)
 def prose(text: str | None) -> str:
     """A text without code, quotations and identifiers."""
     return IDENTIFIER.sub(" ", SPAN.sub(" ", text or ""))
@@ -206,6 +209,16 @@ def grams(sentence: str) -> list[str]:
     return [*sentence.replace(" ", ""), *(s[i:i + 2] for i in range(len(s) - 1)), *(s[i:i + 3] for i in range(len(s) - 2))]
 
 
+def count_grams(pieces: Iterable[str], cut: Callable[[str], list[str]], into: Counter) -> None:
+    """Adds the n-grams of all pieces; a piece that comes again is cut once."""
+    for s, n in Counter(pieces).items():
+        if n == 1:
+            into.update(cut(s))
+        else:
+            for g in cut(s):
+                into[g] += n
+
+
 class Language:
     """Naive Bayes over character n-grams: {language: {gram: count}}; laid out as one table."""
 
@@ -220,9 +233,13 @@ class Language:
         self.table = np.log(seen + 1) + self.unseen  # the last row is that of unseen n-grams
         self.prior = np.log(np.where(np.arange(len(self.names)) == self.home, home_prior, (1 - home_prior) / max(1, len(self.names) - 1)))
 
-    def posterior(self, sentence: str, prior: np.ndarray | None = None) -> np.ndarray:
+    @lru_cache(1 << 14)  # sentences come again
+    def score(self, sentence: str) -> np.ndarray:
         rows, last = self.rows, len(self.rows)
-        score = self.table[[rows.get(g, last) for g in grams(sentence)]].sum(axis=0) / 3 + (0 if prior is None else prior)  # n-grams of three orders tell the same thing thrice
+        return self.table[[rows.get(g, last) for g in grams(sentence)]].sum(axis=0) / 3  # n-grams of three orders tell the same thing thrice
+
+    def posterior(self, sentence: str, prior: np.ndarray | None = None) -> np.ndarray:
+        score = self.score(sentence) + (0 if prior is None else prior)
         p = np.exp(score - score.max())
         return p / p.sum()
 
@@ -274,6 +291,7 @@ class Manner:
         seen = np.array([[c.get(g, 0) for c in counts] for g in vocabulary], float) + 0.5
         self.table = np.log(seen / seen.sum(axis=0)) / 2  # n-grams that overlap tell the same thing again
 
+    @lru_cache(1 << 14)
     def posterior(self, clause: str) -> np.ndarray:
         rows = self.rows
         score = self.table[[rows[g] for g in manner_grams(clause) if g in rows]].sum(axis=0) + MANNER_PRIOR
@@ -293,53 +311,62 @@ class Manner:
         return declines
 
 
-def fit_manner(df: DataFrame, key: str, answers: list[str], sample_rows: int = 4_000, most_grams: int = 50_000) -> Manner:
-    """A refusal model from the sentences above and the answers of about ``sample_rows`` rows, chosen by a hash of the key.
+MOST_COUNTED = 500_000  # n-grams that a task holds before it gives partial sums, which the shuffle adds up
+
 
-    That a few answers of the sample are refusals themselves does not matter. The ``most_grams`` most
+def fit_manner(df: DataFrame, key: str, answers: list[str], most_grams: int = 50_000) -> Manner:
+    """A refusal model from the sentences above and the answers of all rows with a key.
+
+    That a few answers are refusals themselves does not matter. The ``most_grams`` most
     frequent n-grams go through the driver.
     """
-    rows = df.select(F.col(key).alias("k"), F.array(*answers).alias("a")).where("k is not null")
-    share = min(1.0, sample_rows / max(1, df.count()))
+    texts = df.where(F.col(key).isNotNull()).select(F.explode(F.array(*answers)).alias("t")).where("t is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"gram": list(total), "n": list(total.values())}).astype({"gram": object, "n": "int64"})
+
         for b in batches:
-            for t in b["t"]:
-                for c in clauses(prose(t)):
-                    total.update(manner_grams(c))
-        yield pd.DataFrame({"gram": list(total), "n": list(total.values())}).astype({"gram": object, "n": "int64"})
+            count_grams((c for t in b["t"] for c in clauses(prose(t))), manner_grams, total)
+            if len(total) > MOST_COUNTED:
+                yield out()
+                total.clear()
+        yield out()
 
-    texts = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode("a").alias("t")).where("t is not null")
     total = texts.mapInPandas(count, T.StructType().add("gram", "string").add("n", "long")).groupBy("gram").agg(F.sum("n").alias("n"))
     return Manner({r["gram"]: r["n"] for r in total.orderBy(F.desc("n"), "gram").limit(most_grams).collect()})
 
 
-def fit_language(df: DataFrame, key: str, text: str, lang: str, home: str, sample_rows: int = 20_000, grams_per_language: int = 8_000, most_languages: int = 200, least_rows: int = 5) -> Language:
+def fit_language(df: DataFrame, key: str, text: str, lang: str, home: str, grams_per_language: int = 8_000, most_languages: int = 200, least_rows: int = 5) -> Language:
     """A language model from labelled texts.
 
-    Fitted on a random sample of about ``sample_rows`` labelled rows, chosen by a hash of the key; the
-    ``grams_per_language`` most frequent n-grams of each language make up the model, so what the driver
-    collects is bounded whatever the size of the table. Labels are trimmed and lower-cased; wrong
+    Fitted on all labelled rows with a key; the ``grams_per_language`` most frequent n-grams of each
+    language make up the model, so what the driver collects is bounded whatever the size of the table. Labels are trimmed and lower-cased; wrong
     ones are outvoted. Labels of under ``least_rows`` rows are left out, and, of more than
     ``most_languages``, the rarest.
     """
     label = F.lower(F.trim(F.col(lang)))
-    rows = df.where(F.col(text).isNotNull() & label.rlike("^[a-z][a-z0-9+#_-]*$") & (label != "und")).select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("lang"))
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & label.rlike("^[a-z][a-z0-9+#_-]*$") & (label != "und")).select(F.col(text).alias("t"), label.alias("lang"))
     labels = rows.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") >= least_rows).orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
-    share = min(1.0, sample_rows / max(1, sum(r["rows"] for r in labels)))
-    picked = rows.where(F.col("lang").isin([r["lang"] for r in labels]) & (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    picked = rows.where(F.col("lang").isin([r["lang"] for r in labels]))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = {}
-        for b in batches:
-            for t, x in zip(b["t"], b["lang"]):
-                c = counts.setdefault(CODE.get(x, x), Counter())
-                for s in sentences(prose(t)):
-                    c.update(grams(s))
-        yield pd.DataFrame([(x, g, n) for x, c in counts.items() for g, n in c.items()], columns=["lang", "gram", "n"])
 
-    total = picked.select("t", "lang").mapInPandas(count, T.StructType().add("lang", "string").add("gram", "string").add("n", "long")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(x, g, n) for x, c in counts.items() for g, n in c.items()], columns=["lang", "gram", "n"])
+
+        for b in batches:
+            for x, texts in b["t"].groupby(b["lang"].map(lambda x: CODE.get(x, x))):
+                count_grams((s for t in texts for s in sentences(prose(t))), grams, counts.setdefault(x, Counter()))
+            if sum(map(len, counts.values())) > MOST_COUNTED:
+                yield out()
+                counts.clear()
+        yield out()
+
+    total = picked.mapInPandas(count, T.StructType().add("lang", "string").add("gram", "string").add("n", "long")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = total.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams_per_language)
     counts: dict[str, dict[str, int]] = {}
     for r in top.select("lang", "gram", "n").collect():
@@ -373,7 +400,7 @@ def end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n.update(s[i:i + k] for i in range(len(s) - k + 1))
                 if len(s) >= k:
                     ends[s[-k:]] += 1
-        if len(n) > 500_000:  # partial sums; they are added up by the shuffle
+        if len(n) > MOST_COUNTED:
             yield out()
             n.clear()
             ends.clear()

@@ -1,6 +1,8 @@
+import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from codegrain.llm import answers as p3
 
@@ -49,6 +51,23 @@ def test_refusals(manner):
         assert not manner.refuses(s), s
 
 
+def test_models_count_every_row(spark, monkeypatch):
+    """Neither model is fitted on a part of the rows."""
+    monkeypatch.setattr(p3, "Manner", lambda counts: counts)
+    monkeypatch.setattr(p3, "Language", lambda counts, home: counts)
+    monkeypatch.setattr(p3, "MOST_COUNTED", 20, raising=False)
+    rows = spark.range(30_000).select(F.col("id").alias("k"), F.lit("The size is read. It is read").alias("a"), F.lit("so it is").alias("b"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    told = p3.fit_manner(rows.limit(9_000), "k", ["a", "b"])
+    assert told[" size"] == 9_000 and told[" it i"] == told["it is"] == 18_000 and told[" read"] == 18_000
+    spoken = p3.fit_language(rows, "k", "a", "lang", "en")
+    assert spoken["en"]["siz"] == 20_000 and spoken["de"]["siz"] == 10_000 and spoken["en"][" re"] == 40_000
+
+
+def test_identifiers_are_found_from_the_start_of_words():
+    for text, left in (("a foo_1.b->c, x", "a  , x"), ("call f(x y)z of aB.c::d. Then and/or a.b/c", "call  z of  . Then   a. "), ("плохоA_b wordбx1 end", "плохо  wordб  end")):
+        assert p3.IDENTIFIER.sub(" ", text).split() == left.split() == re.sub(p3.IDENTIFIER.pattern.removeprefix("(?!\\B\\w)"), " ", text, flags=re.A).split(), text
+
+
 def test_defects(spark, language, manner):
     day = datetime(2030, 1, 1)
     full = [f"The size `{n}_len` is read from the packet and never checked. A crafted packet writes past the buffer." for n in ("abc", "defg", "hij")] * 40
