@@ -240,12 +240,13 @@ def cross_split(left: DataFrame, right: DataFrame, key: str, text: str, order: s
     differ = lambda ws: sum(F.bit_count(F.col(f"l{w}").bitwiseXOR(F.col(f"r{w}"))) for w in ws)
     apart = differ(WORDS[:2])
     near = (F.abs(F.col("ln") - F.col("rn")) * 100 <= percent * F.greatest("ln", "rn")) & (apart <= int(radius_of_128 * 128))
-    candidates = a.join(b, on).where(near).select("l", "r", apart.alias("apart")).distinct()
+    # Hints to merge: what Spark would broadcast by its size as written is many times as large in the driver.
+    candidates = a.hint("merge").join(b, on).where(near).select("l", "r", apart.alias("apart")).distinct()
     for c, x in zip(classes, "lr"):
-        candidates = candidates.join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in WORDS[2:]]), x)
+        candidates = candidates.hint("merge").join(c.select(F.col("rep").alias(x), *[F.col(w).alias(x + w) for w in WORDS[2:]]), x)
     rest = differ(WORDS[2:])
     candidates = materialize(candidates.where(F.col("apart") + rest <= int(radius * BITS)).select("l", "r"), "p5-candidates")
-    pairs = candidates.join(_texts(rows[1], candidates, "r", "rt"), "r").join(_texts(rows[0], candidates, "l", "lt"), "l")
+    pairs = candidates.hint("merge").join(_texts(rows[1], candidates, "r", "rt"), "r").hint("merge").join(_texts(rows[0], candidates, "l", "lt"), "l")
     links = materialize(pairs.where(alike("lt", "rt", F.lit(percent))).select("l", "r"), "p5-links")
     return links, *members
 

@@ -71,12 +71,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, rows_pe
     """``rows`` joined with ``groups``, one row per key with its number of rows in ``size``, however hot a key is.
 
     Groups of over a thousandth of all rows, at most a thousand of them, are joined by broadcast,
-    so no task gets the whole of a hot one; the others by shuffle. ``groups`` should be a written table.
+    so no task gets the whole of a hot one; the others by shuffle, even where Spark would broadcast them
+    by their size as written, which is many times as large in the driver. ``groups`` should be a written table.
     """
     n = rows.count()
     if n <= rows_per_task:
         return rows.join(groups, key)
     hot = F.col(size) > max(rows_per_task, n // 1000)
     many = rows.join(F.broadcast(groups.where(hot)), key)
-    few = rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").join(groups.where(~hot), key)
+    few = rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").hint("merge").join(groups.where(~hot), key)
     return many.unionByName(few)

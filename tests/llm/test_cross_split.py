@@ -100,3 +100,14 @@ def test_members_of_hot_classes_are_paired_in_parts(spark):
     right = spark.createDataFrame([(100, 100 + i) for i in range(23)] + [(200, 200)], "rep long, k long")
     found = [tuple(r) for r in member_pairs(links, left, right, rows_per_salt=5).collect()]
     assert len(found) == len(set(found)) == 37 * 24
+
+
+def test_members_are_not_sent_to_the_driver(spark):
+    from codegrain.llm.classes import member_pairs
+
+    links = spark.createDataFrame([(0, 100)], "l long, r long")
+    left = spark.createDataFrame([(i % 3, i) for i in range(30)], "rep long, k long")
+    right = spark.createDataFrame([(100, 100), (100, 101), (102, 102)], "rep long, k long")
+    pairs = member_pairs(links, left, right, rows_per_salt=4)
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j) for i in range(0, 30, 3) for j in (100, 101))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
